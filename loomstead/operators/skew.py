@@ -42,43 +42,29 @@ def skew_join(
 
 
 def sharded_neighbour(
-    df: DataFrame, entity: Sequence[str], shard: str, order: Sequence[Column | str], values: Sequence[str], lead: bool = False
+    df: DataFrame, entity: Sequence[str], shard: str, order: Sequence[str], values: Sequence[str], lead: bool = False
 ) -> DataFrame:
     """Add prev_<value> (or next_<value>) in the order of an entity without gathering the entity in one task.
 
-    Rows must be ordered by shard first, then by order. Each (entity, shard) is ordered on its own;
-    the edge of a shard takes the value from a table of one row per (entity, shard).
+    Rows must be ordered by shard first, then by order. What a shard sees across its rim is found from one
+    row per (entity, shard), by an aggregate that combines before it shuffles, and enters the shard as a
+    row before its first (after its last) one, so each (entity, shard) is ordered once and nothing is
+    joined. Null entities are one entity; rows of equal order stand in any order.
     """
-    step = F.lead if lead else F.lag
     name = "next" if lead else "prev"
-    inner = Window.partitionBy(*entity, shard).orderBy(*order)
     packed = F.struct(*[F.col(v) for v in values])
-    local = df.withColumn("__near", step(packed).over(inner)).withColumn(
-        "__edge", step(F.lit(True)).over(inner).isNull()
-    )
-    # the value a neighbouring shard sees: the first row's when looking ahead, else the last row's
-    rim_order = [*order] if lead else None
-    if lead:
-        rim = df.withColumn("__n", F.row_number().over(Window.partitionBy(*entity, shard).orderBy(*rim_order)))
-        rim = rim.filter("__n = 1")
-    else:
-        # the last row of a shard is the one without a successor
-        rim = df.withColumn("__n", F.lead(F.lit(True)).over(inner)).filter("__n is null")
-    outer = Window.partitionBy(*entity).orderBy(shard)
-    rims = rim.select(*entity, shard, packed.alias("__own")).withColumn("__far", step("__own").over(outer))
-    joined = local.join(
-        rims.select(*[F.col(e).alias(f"__k{i}") for i, e in enumerate(entity)], F.col(shard).alias("__ks"), "__far"),
-        F.lit(True)
-        if not entity
-        else [
-            *[F.col(e).eqNullSafe(F.col(f"__k{i}")) for i, e in enumerate(entity)],
-            F.col(shard).eqNullSafe(F.col("__ks")),
-        ],
-        "left",
-    )
-    near = F.when(F.col("__edge"), F.col("__far")).otherwise(F.col("__near"))
+    ends = F.min if lead else F.max
+    rims = df.groupBy(*entity, shard).agg(ends(F.struct(F.struct(*order).alias("o"), packed.alias("v"))).alias("__rim"))
+    step = F.lead if lead else F.lag
+    far = rims.withColumn("__far", step("__rim.v").over(Window.partitionBy(*entity).orderBy(shard)))
+    guest = far.filter("__far is not null").select(*entity, shard, F.lit(True).alias("__guest"), F.col("__far").alias("__v"))
+    rows = df.withColumn("__guest", F.lit(False)).withColumn("__v", packed)
+    both = rows.unionByName(guest, allowMissingColumns=True)
+    first = F.col("__guest").asc() if lead else F.col("__guest").desc()
+    near = step("__v").over(Window.partitionBy(*entity, shard).orderBy(first, *order))
     return (
-        joined.withColumn("__pick", near)
-        .withColumns({f"{name}_{v}": F.col("__pick")[v] for v in values})
-        .drop("__near", "__edge", "__far", "__pick", "__ks", *[f"__k{i}" for i in range(len(entity))])
+        both.withColumn("__near", near)
+        .filter(~F.col("__guest"))
+        .withColumns({f"{name}_{v}": F.col("__near")[v] for v in values})
+        .drop("__near", "__guest", "__v")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,20 +28,31 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there on.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it.
 
-    The folder is the session's spark.checkpoint.dir. Only a local master without
-    that setting gets a temporary folder; a cluster without it is an error, as a
-    machine's own disk would not survive the loss of that machine.
+    Only a local master without that setting gets a temporary folder; a cluster without it is an error,
+    as a machine's own disk would not survive the loss of that machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="loomstead-checkpoint-")
+            folder = tempfile.mkdtemp(prefix="loomstead-shared-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared folder and read it from there on.
+
+    The written table survives the loss of executors, and its statistics are those of its files: after
+    checkpoint() a plan keeps the size estimates of everything before it, which multiply from round to
+    round of an iteration.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
