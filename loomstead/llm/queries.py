@@ -106,7 +106,7 @@ paired AS (
   SELECT a.r AS u, b.r AS v FROM sides s
   JOIN firsts a ON a.load_id = s.load_id AND a.source = s1 AND a.source_id = i1 AND a.county = c1 AND a.month = m1
   JOIN firsts b ON b.load_id = s.load_id AND b.source = s2 AND b.source_id = i2 AND b.county = c2 AND b.month = m2 WHERE c1 = c2
-), edges AS (
+), edges AS MATERIALIZED (
   SELECT u, v FROM stars WHERE u <> v UNION SELECT v, u FROM stars WHERE u <> v
   UNION SELECT u, v FROM paired WHERE u <> v UNION SELECT v, u FROM paired WHERE u <> v
 ), reach(record_id, other) AS (
