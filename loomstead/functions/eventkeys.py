@@ -12,38 +12,36 @@ def fips5(col: Column | str) -> Column:
     return F.when(c.rlike(r"^\d{1,5}$"), F.lpad(c, 5, "0"))
 
 
-def _part(col: Column, i: int) -> Column:
-    return F.trim(F.get(F.split(col, ":", 4), F.lit(i)))
+PARTS = ("source", "source_id", "county", "month")
+READABLE = r"^[^:]*[^:\s][^:]*:[^:]*[^:\s][^:]*:\s*\d{1,5}\s*:\s*\d{4}-\d{2}-\d{2}"
 
 
-def key_identity(col: Column | str) -> Column:
-    """struct(source, source_id, county, month) of an event key; null if the key is null or has no four parts."""
-    c = F.col(col) if isinstance(col, str) else col
-    c = F.regexp_replace(c, r"[\s ]+", " ")
-    source, sid, county = F.lower(_part(c, 0)), F.lower(_part(c, 1)), fips5(_part(c, 2))
-    month = F.regexp_extract(_part(c, 3), r"^(\d{4}-\d{2}-\d{2})", 1)
-    return F.when(
-        (F.length(source) > 0) & (F.length(sid) > 0) & county.isNotNull() & (F.length(month) > 0),
-        F.struct(source.alias("source"), sid.alias("source_id"), county.alias("county"), month.alias("month")),
+def with_key_parts(df: DataFrame, key: str, names: tuple[str, str, str, str] = PARTS) -> DataFrame:
+    """Add source, source id, county and month of an event key; all null if the key is null or unreadable.
+
+    Letter case, blanks around the parts, lost leading zeros of the county and a time of day after the
+    month make no difference. The key is cut once, in a step of its own, whatever uses the parts.
+    """
+    cut = F.split(F.lower(F.trim(F.when(F.col(key).rlike(READABLE), F.col(key)))), r"\s*:\s*", 4)
+    part = lambda i: F.get("__cut", F.lit(i))
+    return (
+        df.withColumn("__cut", cut)
+        .withColumns({names[0]: part(0), names[1]: part(1), names[2]: F.lpad(part(2), 5, "0"), names[3]: F.substring(part(3), 1, 10)})
+        .drop("__cut")
     )
 
 
-def record_identity() -> Column:
-    """Identity of an event record: event_key, or where it is null (or unreadable) the columns it is made of.
+def with_identity(df: DataFrame, names: tuple[str, str, str, str] = PARTS) -> DataFrame:
+    """Add the identity of event records: that of event_key, or where it is null or unreadable that of the columns it is made of.
 
-    A record whose identity lacks a part has none (null) and is in no group.
+    A record whose identity lacks a part has none (all parts null) and is in no group.
     """
-    source, sid = F.lower(F.trim("event_source")), F.lower(F.trim("source_event_id"))
-    county, month = fips5("fips"), F.date_format("event_start_month", "yyyy-MM-dd")
-    named = F.when(
-        source.isNotNull() & sid.isNotNull() & county.isNotNull() & month.isNotNull(),
-        F.struct(source.alias("source"), sid.alias("source_id"), county.alias("county"), month.alias("month")),
+    made = F.concat(
+        F.col("event_source"), F.lit(":"), F.col("source_event_id"), F.lit(":"), F.col("fips"), F.lit(":"),
+        F.date_format("event_start_month", "yyyy-MM-dd"),
     )
-    return F.coalesce(key_identity("event_key"), named)
-
-
-def with_identity(df: DataFrame, name: str = "identity") -> DataFrame:
-    return df.withColumn(name, record_identity())
+    usable = F.when(F.col("event_key").rlike(READABLE), F.col("event_key")).otherwise(made)
+    return with_key_parts(df.withColumn("__key", usable), "__key", names).drop("__key")
 
 
 def source_keys(col: Column | str) -> Column:

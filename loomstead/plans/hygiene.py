@@ -39,8 +39,8 @@ def p2_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _county_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = with_identity(table(spark, sf_dir, "extreme_events_county"), "__identity")
-    return events.select("load_id", F.col("__identity.county").alias("fips"), "event_start", "event_end")
+    events = with_identity(table(spark, sf_dir, "extreme_events_county"), ("__source", "__id", "__county", "__month"))
+    return events.select("load_id", F.col("__county").alias("fips"), "event_start", "event_end")
 
 
 def _stamp(col: str):
