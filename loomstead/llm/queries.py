@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstead.functions.eventkeys import key_identity, source_keys, with_identity
+from loomstead.functions.eventkeys import PARTS, source_keys, with_identity, with_key_parts
 from loomstead.llm.encoding import count_tokens, decode_ids, encode_texts
 from loomstead.llm.linkage import connected_groups, shared_name_edges
 from loomstead.llm.packing import pack_items
@@ -14,16 +14,15 @@ from loomstead.plans.tables import table
 
 SURVIVING_FIELDS = ("total_damage_amount", "source_record_count", "semantic_duplicate_count")
 CAPACITY = 2_048
-ID_PARTS = ("source", "source_id", "county", "month")
 
 
 def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_identity(table(spark, sf_dir, "extreme_events_county"), "__identity").withColumns({p: F.col("__identity")[p] for p in ID_PARTS})
+    return with_identity(table(spark, sf_dir, "extreme_events_county"))
 
 
 def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving value of each field of each group with the record it comes from and the evidence."""
-    return surviving_values(_identified(spark, sf_dir), ["load_id", *ID_PARTS], "record_id", "loaded_at", SURVIVING_FIELDS)
+    return surviving_values(_identified(spark, sf_dir), ["load_id", *PARTS], "record_id", "loaded_at", SURVIVING_FIELDS)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,17 +30,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _identified(spark, sf_dir).select("record_id", "load_id", *ID_PARTS, "associated_source_event_keys").filter("county is not null")
+    records = _identified(spark, sf_dir).select("record_id", "load_id", *PARTS, "associated_source_event_keys").filter("county is not null")
+    records = records.withColumn("__named", source_keys("associated_source_event_keys"))
     own = F.concat_ws(":", "source", "source_id")
-    names = records.select("record_id", "load_id", "county", F.explode(F.array_union(F.array(own), source_keys("associated_source_event_keys"))).alias("key"))
+    names = records.select("record_id", "load_id", "county", F.explode(F.array_union(F.array(own), "__named")).alias("key"))
     by_name = shared_name_edges(names, ["load_id", "county", "key"], "record_id")
-    ids = ["load_id", *ID_PARTS]
+    ids = ["load_id", *PARTS]
     first = records.groupBy(*ids).agg(F.min("record_id").alias("vertex"))
-    pairs = table(spark, sf_dir, "event_match_pairs").select("load_id", key_identity("event_key_a").alias("a"), key_identity("event_key_b").alias("b"))
-    pairs = pairs.filter(F.col("a.county") == F.col("b.county")).distinct()
+    a, b = (tuple(f"{side}_{p}" for p in PARTS) for side in "ab")
+    pairs = table(spark, sf_dir, "event_match_pairs").select("load_id", "event_key_a", "event_key_b")
+    pairs = with_key_parts(with_key_parts(pairs, "event_key_a", a), "event_key_b", b).filter("a_county = b_county")
     # one row per pair of identities, so no identity repeats beyond its own pairs
-    side = lambda df, s, out: df.withColumns({p: F.col(s)[p] for p in ID_PARTS}).join(first, ids).withColumnRenamed("vertex", out).drop(*ID_PARTS)
-    return by_name.unionByName(side(side(pairs, "a", "u"), "b", "v").select("u", "v"))
+    pairs = pairs.select("load_id", *a, *b).distinct()
+    side = lambda names, out: first.select("load_id", *[F.col(p).alias(n) for p, n in zip(PARTS, names)], F.col("vertex").alias(out))
+    linked = pairs.join(side(a, "u"), ["load_id", *a]).join(side(b, "v"), ["load_id", *b])
+    return by_name.unionByName(linked.select("u", "v"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
