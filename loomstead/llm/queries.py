@@ -9,6 +9,7 @@ from loomstead.functions.eventkeys import PARTS, source_keys, with_identity, wit
 from loomstead.llm.encoding import count_tokens, decode_ids, encode_texts
 from loomstead.llm.linkage import connected_groups, shared_name_edges
 from loomstead.llm.packing import pack_items
+from loomstead.llm.pii import find_personal, make_finder, redact_personal
 from loomstead.llm.survivorship import surviving_values
 from loomstead.plans.tables import table
 
@@ -68,7 +69,17 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_items(count_tokens(_documents(spark, sf_dir)), "doc_id", "n_tokens", CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p4_found, p8_ids, p8_decoded, p9_containers)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return find_personal(docs, make_finder(docs, table(spark, sf_dir, "person_names")))
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return redact_personal(docs, make_finder(docs, table(spark, sf_dir, "person_names")))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p4_found, p8_ids, p8_decoded, p9_containers, p10_found, p10_redacted)}
 
 _RECORDS = """
 records AS (
