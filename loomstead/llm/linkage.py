@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from loomstead.operators.skew import skew_join
 from loomstead.session import cut_lineage
 
-SHRINK = 0.10
+SHRINK = 0.25
+HOT_ROWS = 100_000
 MOST_ROUNDS = 200
 
 
@@ -36,7 +37,7 @@ def _strip_and_compress(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFra
     with a third of all edges stays spread.
     """
     info = _both_ways(edges).groupBy("u").agg(F.count(F.lit(1)).alias("deg"), F.min("v").alias("n1"), F.max("v").alias("n2"))
-    low = info.filter("deg <= 2").withColumn("rank", F.struct(F.col("deg"), F.xxhash64(F.col("u"), F.lit(turn)), F.col("u")))
+    low = info.filter("deg <= 2").withColumn("rank", F.struct(F.col("deg"), F.xxhash64(F.col("u"), F.lit(f"strip {turn}")), F.col("u")))
     near = low.select("u", "rank", F.explode(F.array_distinct(F.array("n1", "n2"))).alias("n"))
     blocked = (
         near.groupBy(F.least("u", "n").alias("a"), F.greatest("u", "n").alias("b"))
@@ -50,18 +51,43 @@ def _strip_and_compress(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFra
     return gone.select(F.col("u").alias("vertex"), F.col("n1").alias("parent")), cut_lineage(left)
 
 
-def _contract(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """(removed, edges left): random-mate contraction of the core; a vertex of one side of a hashed coin joins its least neighbour of the other."""
-    head = lambda c: F.xxhash64(F.col(c), F.lit(turn), F.lit("coin")).bitwiseAND(F.lit(1)) == 0
-    info = cut_lineage(_both_ways(edges).groupBy("u").agg(F.count(F.lit(1)).alias("deg"), F.min(F.when(head("v"), F.col("v"))).alias("to")))
-    gone = info.withColumn("to", F.when(~head("u"), F.col("to")))
-    moved = edges.withColumn("a", F.col("u")).withColumn("b", F.col("v"))
-    for end in ("a", "b"):
-        # an endpoint may be a hub; its degree says so
-        lookup = gone.select(F.col("u").alias(end), F.coalesce("to", "u").alias(f"{end}_to"), "deg")
-        moved = skew_join(moved, lookup, [end], "deg", ["u", "v"]).withColumn(end, F.coalesce(f"{end}_to", end)).drop(f"{end}_to")
-    left = _canonical(moved.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return gone.filter("to is not null").select(F.col("u").alias("vertex"), F.col("to").alias("parent")), cut_lineage(left)
+def _lookup(rows: DataFrame, table: DataFrame, key: str, count_col: str, spread_by: list[str], bound: int) -> DataFrame:
+    """Left join to a table unique by key; where no key can hold more than HOT_ROWS rows no key needs splitting."""
+    if bound <= HOT_ROWS:
+        return rows.join(table.drop(count_col), key, "left")
+    return skew_join(rows, table, [key], count_col, spread_by)
+
+
+def _follow(pointers: DataFrame, bound: int) -> DataFrame:
+    """Pointer jumping: (u, to) of a forest, roots pointing at themselves or absent, until every vertex points at its root."""
+    while True:
+        children = pointers.groupBy("to").agg(F.count(F.lit(1)).alias("n"))
+        heads = children.join(pointers.select(F.col("u").alias("to"), F.col("to").alias("next")), "to", "left")
+        jumped = _lookup(pointers, heads, "to", "n", ["u"], bound)
+        jumped = jumped.select("u", F.coalesce("next", "to").alias("to"), (F.coalesce("next", "to") != F.col("to")).alias("moved"))
+        jumped = cut_lineage(jumped)
+        pointers = jumped.drop("moved")
+        if jumped.filter("moved").isEmpty():
+            return pointers
+
+
+def _contract(edges: DataFrame, turn: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """(removed, edges left): every vertex of the core points at the least hash of its closed neighbourhood.
+
+    Hashes fall along the pointers, so they form trees, and only local minima are roots: with three and
+    more neighbours each, at most about a quarter of the vertices stays.
+    """
+    order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(f"core {turn}")).alias("h"), F.col(c).alias("id"))
+    info = _both_ways(edges).groupBy("u").agg(F.min(order("v")).alias("best"), F.count(F.lit(1)).alias("deg"))
+    info = cut_lineage(info.select("u", "deg", F.least(F.col("best"), order("u"))["id"].alias("to")))
+    roots = _follow(info.select("u", "to"), size)
+    moved = edges
+    for end in ("u", "v"):
+        lookup = roots.join(info.select("u", "deg"), "u") if size > HOT_ROWS else roots.withColumn("deg", F.lit(1))
+        lookup = lookup.select(F.col("u").alias(end), F.col("to").alias("__to"), "deg")
+        other = "v" if end == "u" else "u"
+        moved = _lookup(moved, lookup, end, "deg", [other], size).select(F.col("__to").alias(end), other)
+    return roots.filter("u != to").select(F.col("u").alias("vertex"), F.col("to").alias("parent")), cut_lineage(_canonical(moved))
 
 
 def connected_groups(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
@@ -69,38 +95,32 @@ def connected_groups(edges: DataFrame, left: str = "u", right: str = "v") -> Dat
 
     Edges with a null end and loops link nothing; repeated and reversed edges count once; an empty table
     gives an empty one. The rounds strip degree-one vertices and compress degree-two chains while that
-    removes a share of SHRINK of the vertices seen, then contract the core; the removed vertices take
-    their parent's label in reverse order. Every round's tables are written to the checkpoint folder.
+    removes a share of SHRINK of the edges, then contract the core. The removed vertices of all rounds
+    point at vertices removed later or never, so jumping along these pointers restores every label.
+    Every round's tables are written to the shared folder.
     """
     rest = cut_lineage(_canonical(edges.select(F.col(left).cast("bigint").alias("u"), F.col(right).cast("bigint").alias("v"))))
     parents: list[DataFrame] = []
-    size = rest.count()
+    size = first = rest.count()
     core = False
     for turn in range(MOST_ROUNDS):
         if size == 0:
             break
-        gone, rest = (_contract if core else _strip_and_compress)(rest, turn)
+        gone, rest = _contract(rest, turn, size) if core else _strip_and_compress(rest, turn)
         parents.append(gone)
         before, size = size, rest.count()
-        # what cannot be stripped any more is the core; once contracted, it is stripped again
-        core = not core and before - size < SHRINK * before
+        # what hardly shrinks any more is the core, which is contracted to nothing
+        core = core or before - size < SHRINK * before
     if size:
         raise RuntimeError(f"{size} edges left after {MOST_ROUNDS} rounds")
     if not parents:
         return rest.select(F.col("u").alias("vertex"), F.col("v").alias("group_id"))
-    labels: list[DataFrame] = []
-    for gone in reversed(parents):
-        if labels:
-            known = reduce(DataFrame.unionByName, labels).withColumnRenamed("vertex", "parent")
-            lookup = gone.groupBy("parent").agg(F.count(F.lit(1)).alias("n")).join(known, "parent", "left")
-            gone = skew_join(gone, lookup, ["parent"], "n", ["vertex"]).select("vertex", F.coalesce("label", "parent").alias("label"))
-            labels.append(cut_lineage(gone))
-        else:
-            labels.append(gone.select("vertex", F.col("parent").alias("label")))
-    found = reduce(DataFrame.unionByName, labels)
-    everyone = found.unionByName(found.select(F.col("label").alias("vertex"), "label").distinct())
+    pointers = reduce(DataFrame.unionByName, parents).select(F.col("vertex").alias("u"), F.col("parent").alias("to"))
+    found = _follow(cut_lineage(pointers), first)
+    everyone = found.select(F.col("u").alias("vertex"), F.col("to").alias("label"))
+    everyone = everyone.unionByName(found.select(F.col("to").alias("vertex"), F.col("to").alias("label")).distinct())
     least = everyone.groupBy("label").agg(F.min("vertex").alias("group_id"), F.count(F.lit(1)).alias("n"))
-    return skew_join(everyone, least, ["label"], "n", ["vertex"]).select("vertex", "group_id")
+    return _lookup(everyone, least, "label", "n", ["vertex"], first).select("vertex", "group_id")
 
 
 def shared_name_edges(names: DataFrame, scope: list[str], vertex: str) -> DataFrame:
