@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstead.functions.clean import code5
 from loomstead.functions.text import event_family, event_name
 from loomstead.operators.relational import first_per_key, islands, joined_unique
 
@@ -71,7 +72,7 @@ def _standard(df: DataFrame, source: str, order: str | None) -> DataFrame:
     has = set(df.columns)
     one = F.lit(1).cast("long")
     return df.select(
-        F.lit(source).alias("event_source"), F.col("source_event_id").cast("string").alias("source_event_id"), F.lpad("fips", 5, "0").alias("fips"), "event_type", "event_name",
+        F.lit(source).alias("event_source"), F.col("source_event_id").cast("string").alias("source_event_id"), code5("fips").alias("fips"), "event_type", "event_name",
         F.col("event_start").cast("timestamp_ntz").alias("event_start"), F.coalesce(F.col("event_end"), F.col("event_start")).cast("timestamp_ntz").alias("event_end"),
         F.col("total_damage_amount").cast("double").alias("total_damage_amount"),
         (F.coalesce(F.col("source_record_count").cast("long"), one) if "source_record_count" in has else one).alias("source_record_count"),

@@ -85,7 +85,7 @@ def sufficient_history(spark: SparkSession, sf: str) -> DataFrame:
 def subgroup_ranges(spark: SparkSession, sf: str) -> DataFrame:
     """Each customer's balance assigned to the nearest of its segment's balance ranges."""
     c = _customers(spark, sf)
-    ranges = c.filter("c_custkey % 3 = 0").groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"))
+    ranges = c.groupBy("c_nationkey", "c_mktsegment").agg(F.percentile("c_acctbal", F.lit(0.4)).alias("lo"), F.percentile("c_acctbal", F.lit(0.6)).alias("hi"))
     j = c.select("c_custkey", "c_nationkey", "c_acctbal").join(F.broadcast(ranges), "c_nationkey")  # nations times segments: fixed
     inside, distance = playbook.subgroup_from_ranges(F.col("c_acctbal"), F.col("lo"), F.col("hi"))
     j = j.withColumn("inside", inside).withColumn("distance", distance)
@@ -202,7 +202,7 @@ def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
 
 def peer_picker(spark: SparkSession, sf: str) -> DataFrame:
     c = _rated_customers(spark, sf).withColumn("pct_rank", percent_rank_average("spend", ["risk_rating"]))
-    c = c.withColumn("eligible", F.col("c_custkey") % 7 == 0).withColumn("deviation", F.abs("c_acctbal")).withColumn("mean_deviation", F.col("deviation") / 2)
+    c = c.withColumn("eligible", F.col("c_acctbal") > 0).withColumn("deviation", F.abs("c_acctbal")).withColumn("mean_deviation", F.col("deviation") / 2)
     return stats.spaced_peers(c, "risk_rating", "c_custkey", "c_nationkey", "pct_rank", "eligible", "deviation", "mean_deviation")
 
 
@@ -272,7 +272,7 @@ k AS (SELECT l.* FROM l JOIN f USING (p_brand) WHERE q BETWEEN q1 - 1.5 * (q3 -
     "scorecard": f"""{_FACTS}, b AS (SELECT *, CAST(sign(price - pp) + sign(volume - pv) AS INT) AS balance FROM j), p AS (SELECT *, (CASE WHEN risk_rating IN ('Very Low', 'Low') THEN 1 ELSE 0 END) + (CASE WHEN price >= pp THEN 1 ELSE 0 END) + (CASE WHEN balance > 0 THEN 1 ELSE 0 END) AS s FROM b)
 SELECT unit, risk_rating, balance, CASE s WHEN 3 THEN 'Low' WHEN 2 THEN 'Moderate' ELSE 'High' END AS level FROM p""",
     "sufficient_history": f"SELECT load_id, county_name, round(avg(CASE WHEN {_SEN.format('homes_sold_yoy')} IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS share FROM county_housing_monthly GROUP BY 1, 2 HAVING avg(CASE WHEN {_SEN.format('homes_sold_yoy')} IS NOT NULL THEN 1.0 ELSE 0.0 END) >= 0.9",
-    "subgroup_ranges": """WITH r AS (SELECT c_nationkey, c_mktsegment, min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1, 2), j AS (SELECT c_custkey, r.c_mktsegment AS segment, CASE WHEN c.c_acctbal BETWEEN lo AND hi THEN 0 ELSE 1 END AS i, round(greatest(lo - c.c_acctbal, c.c_acctbal - hi, 0), 12) AS d FROM customer c JOIN r USING (c_nationkey))
+    "subgroup_ranges": """WITH r AS (SELECT c_nationkey, c_mktsegment, quantile_cont(c_acctbal, 0.4) AS lo, quantile_cont(c_acctbal, 0.6) AS hi FROM customer GROUP BY 1, 2), j AS (SELECT c_custkey, r.c_mktsegment AS segment, CASE WHEN c.c_acctbal BETWEEN lo AND hi THEN 0 ELSE 1 END AS i, round(greatest(lo - c.c_acctbal, c.c_acctbal - hi, 0), 12) AS d FROM customer c JOIN r USING (c_nationkey))
 SELECT c_custkey, segment, round(d, 6) AS distance FROM j QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY i, d, segment) = 1""",
     "weighted_midpoint": "WITH b AS (SELECT s_nationkey, count(*) FILTER (l_quantity BETWEEN 1 AND 10) AS b1, count(*) FILTER (l_quantity BETWEEN 11 AND 25) AS b2, count(*) FILTER (l_quantity BETWEEN 26 AND 40) AS b3, count(*) FILTER (l_quantity BETWEEN 41 AND 50) AS b4 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1) SELECT s_nationkey, round((b1 * 5.5 + b2 * 18.0 + b3 * 33.0 + b4 * 45.5)::DOUBLE / nullif(b1 + b2 + b3 + b4, 0), 6) AS avg_quantity FROM b",
     "weighted_bucket": "WITH b AS (SELECT l_returnflag, l_linestatus, count(*) FILTER (l_quantity < 20) AS low, count(*) FILTER (l_quantity > 40) AS high, count(*) FILTER (l_quantity BETWEEN 20 AND 40) AS rest FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, l_linestatus, round((low * 10.0 + high * 45.0)::DOUBLE / (low + high + rest), 6) AS avg_bucket FROM b",
