@@ -164,14 +164,14 @@ def overlapping_pairs(df: DataFrame, entity: Sequence[str], key: str, start: str
     Intervals meet within time buckets, so work follows the overlaps, not the square of an entity's rows;
     a pair counts in the bucket of its later start only.
     """
-    day = lambda c: F.floor(F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")) / bucket_days).cast("int")
-    rows = df.filter(F.col(start).isNotNull() & (F.col(end) >= F.col(start))).select(*entity, F.col(key).alias("k"), F.col(start).alias("s"), F.col(end).alias("e"))
-    rows = rows.withColumn("bucket", F.explode(F.sequence(day("s"), day("e"))))
+    number = lambda c: F.floor(F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")) / bucket_days).cast("int")
+    rows = df.filter(F.col(start).isNotNull() & (F.col(end) >= F.col(start))).select(*entity, F.col(key).alias("__k"), F.col(start).alias("__s"), F.col(end).alias("__e"))
+    rows = rows.withColumn("__bucket", F.explode(F.sequence(number(F.col("__s")), number(F.col("__e")))))
     a, b = rows.alias("a"), rows.alias("b")
-    same = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in [*entity, "bucket"]]
-    met = a.join(b, [*same, F.col("a.k") < F.col("b.k"), F.col("a.s") <= F.col("b.e"), F.col("b.s") <= F.col("a.e")])
-    first = F.floor(F.datediff(F.greatest("a.s", "b.s").cast("date"), F.lit("1970-01-01").cast("date")) / bucket_days).cast("int")
-    return met.filter(F.col("a.bucket") == first).select(*[F.col(f"a.{x}").alias(x) for x in entity], F.col("a.k").alias("key_a"), F.col("b.k").alias("key_b"))
+    same = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in [*entity, "__bucket"]]
+    met = a.join(b, [*same, F.col("a.__k") < F.col("b.__k"), F.col("a.__s") <= F.col("b.__e"), F.col("b.__s") <= F.col("a.__e")])
+    met = met.filter(F.col("a.__bucket") == number(F.greatest("a.__s", "b.__s")))
+    return met.select(*[F.col(f"a.{x}").alias(x) for x in entity], F.col("a.__k").alias("key_a"), F.col("b.__k").alias("key_b"))
 
 
 def latest_complete_year(panel: DataFrame, month: str, years: int = 10) -> DataFrame:

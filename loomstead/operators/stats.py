@@ -74,7 +74,7 @@ def robust_clamp(df: DataFrame, value: str, low: float = 0.01, high: float = 0.9
 
 
 def bootstrap_interval(df: DataFrame, group: Sequence[str], x: str, y: str, seed: str, iterations: int = 160, least: int = 12) -> DataFrame:
-    """Percentile interval (2.5 %, 97.5 %) of the rank correlation by resampling ranks, seeded per group; NaN below least pairs.
+    """Percentile interval (2.5 %, 97.5 %) of the rank correlation by resampling ranks, seeded per group; null below least pairs.
 
     A group is one analysis cell (a rating and a feature), of at most as many rows as there are counties.
     """
