@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -40,7 +41,11 @@ def encode_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", voca
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = _transducer(shared)
         for batch in batches:
-            lists = pa.array(map(make.encode, batch.column(1).to_pylist()), type=pa.list_(pa.int32()))
+            flat, ends = [], [0]
+            for text in batch.column(1).to_pylist():
+                flat += make.encode(text)
+                ends.append(len(flat))
+            lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(np.array(flat, dtype=np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[doc_id, "ids"])
 
     kind = df.schema[doc_id].dataType.simpleString()

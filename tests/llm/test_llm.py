@@ -274,3 +274,15 @@ def test_finder_without_data(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     names = spark.createDataFrame([], "name_part string, name_kind string")
     assert pii.find_personal(docs, pii.make_finder(docs, names)).count() == 0
+
+
+def test_fast_split_equals_pattern(bpe):
+    import regex
+
+    from loomstead.llm import transducer
+
+    slow = regex.compile(PATTERN).findall
+    for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)]):
+        if transducer.UNCOMMON(c) is None:
+            for text in (c, f"a{c}b", f" {c} ", f"1{c}1{c}!", f"'{c}\n {c}"):
+                assert transducer.COMMON(text) == slow(text), hex(ord(c))
