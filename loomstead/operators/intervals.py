@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomstead.operators.skew import sharded_neighbour
 
-SHARD_DAYS = 64
+SHARD_DAYS = 32
 
 
 def _day(col):

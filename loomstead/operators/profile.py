@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of values per doubling, of which one is ordered to find a median.
+RANGES = 1024
 PLAIN_NUMBER = r"^\s*[+-]?(\d{1,3}(,\d{3})+|\d+)(\.\d+)?\s*$"
 
 
@@ -49,7 +51,7 @@ def column_values(df: DataFrame, rule: ColumnRule, load: str) -> DataFrame:
 def _exact_median(values: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Exact median of number weighted by n: totals of value ranges find the range, then only that range is ordered."""
     good = values.filter("number is not null").groupBy(*keys, "number").agg(F.sum("n").alias("n"))
-    mag = F.floor(F.log2(1 + F.abs("number")) * 64)
+    mag = F.floor(F.log2(1 + F.abs("number")) * RANGES)
     good = good.withColumn("range", F.when(F.col("number") < 0, -mag - 1).otherwise(mag))
     ranges = good.groupBy(*keys, "range").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys).orderBy("range")

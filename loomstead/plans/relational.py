@@ -124,7 +124,7 @@ def average_duration_imputation(spark: SparkSession, sf: str) -> DataFrame:
     """Events without an end get their type's mean duration in whole days (invalid intervals do not count)."""
     e = table(spark, sf, "extreme_events_county").select("record_id", "event_type", F.col("event_start").cast("date").alias("s"), F.col("event_end").cast("date").alias("e"))
     mean = e.filter("e >= s").groupBy("event_type").agg(F.avg(F.datediff("e", "s")).alias("days"))
-    j = e.filter("s is not null").join(F.broadcast(mean), "event_type", "left")
+    j = e.filter("s is not null").join(mean, "event_type", "left")
     return j.select("record_id", F.coalesce("e", F.date_add("s", F.round("days").cast("int")), "s").alias("end_day"))
 
 
