@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomstead.session import cut_lineage
 
-RANK_SALTS = 64
+ROWS_PER_RANK_PART = 200_000
 
 
 def plan_containers(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -64,9 +64,11 @@ def pack_items(sizes: DataFrame, item: str, size: str, capacity: int) -> DataFra
         pieces.select(
             "__item", F.col("__k").cast("int").alias("piece_no"), (F.col("__k") * capacity).cast("bigint").alias("piece_start"),
             F.least(F.lit(capacity), F.col("__n") - F.col("__k") * capacity).cast("int").alias("piece_size"),
-            F.pmod(F.xxhash64("__item", "__k"), F.lit(RANK_SALTS)).cast("int").alias("__salt"),
         )
     )
+    # a length that all items have is still counted in parts of bounded size
+    salts = max(16, -(-pieces.count() // ROWS_PER_RANK_PART))
+    pieces = pieces.withColumn("__salt", F.pmod(F.xxhash64("__item", "piece_no"), F.lit(salts)))
     parts = pieces.groupBy("piece_size", "__salt").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["piece_size"]: r["n"] for r in parts.groupBy("piece_size").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     plan = plan_containers(counts, capacity)
@@ -84,7 +86,7 @@ def pack_items(sizes: DataFrame, item: str, size: str, capacity: int) -> DataFra
     offsets = parts.withColumn("__before", F.coalesce(F.sum("n").over(Window.partitionBy("piece_size").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     ranked = (
         pieces.withColumn("__r", F.row_number().over(Window.partitionBy("piece_size", "__salt").orderBy("__item", "piece_no")) - 1)
-        .join(F.broadcast(offsets), ["piece_size", "__salt"])
+        .join(offsets, ["piece_size", "__salt"])
         .withColumn("__rank", F.col("__before") + F.col("__r"))
     )
     placed = ranked.join(F.broadcast(slots), (ranked["piece_size"] == slots["piece_size"]) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__until")))

@@ -11,6 +11,7 @@ from loomstead.llm.linkage import connected_groups, shared_name_edges
 from loomstead.llm.packing import pack_items
 from loomstead.llm.pii import find_personal, make_finder, redact_personal
 from loomstead.llm.survivorship import surviving_values
+from loomstead.operators.skew import skew_join
 from loomstead.plans.tables import table
 
 SURVIVING_FIELDS = ("total_damage_amount", "source_record_count", "semantic_duplicate_count")
@@ -43,8 +44,16 @@ def _event_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = with_key_parts(with_key_parts(pairs, "event_key_a", a), "event_key_b", b).filter("a_county = b_county")
     # one row per pair of identities, so no identity repeats beyond its own pairs
     pairs = pairs.select("load_id", *a, *b).distinct()
-    side = lambda names, out: first.select("load_id", *[F.col(p).alias(n) for p, n in zip(PARTS, names)], F.col("vertex").alias(out))
-    linked = pairs.join(side(a, "u"), ["load_id", *a]).join(side(b, "v"), ["load_id", *b])
+
+
+    def vertex_of(rows: DataFrame, names: tuple[str, ...], out: str) -> DataFrame:
+        # an identity may stand in many pairs: the number of its pairs goes with its look-up
+        ids = first.select("load_id", *[F.col(p).alias(n) for p, n in zip(PARTS, names)], F.col("vertex").alias(out))
+        lookup = rows.groupBy("load_id", *names).agg(F.count(F.lit(1)).alias("n")).join(ids, ["load_id", *names])
+        others = [c for c in rows.columns if c not in names]
+        return skew_join(rows, lookup, ["load_id", *names], "n", others, "inner").drop(*names)
+
+    linked = vertex_of(vertex_of(pairs, a, "u"), b, "v")
     return by_name.unionByName(linked.select("u", "v"))
 
 

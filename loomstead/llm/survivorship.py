@@ -43,12 +43,15 @@ def learn_precedence(cells: DataFrame, group: Sequence[str]) -> DataFrame:
     was seen SUPPORT times and one direction outweighs the other by MARGIN of the sightings. The table is
     bounded by the classes, whatever the data.
     """
-    # what is learned are counts over all groups, so a hash may stand for the group
-    timed = cells.filter(F.col("__at").isNotNull()).select(
-        F.xxhash64(*group, "field_name").alias("__cell"), "field_name", "__at", "__rid", value_class(F.col("value")).alias("cls"),
-        F.floor(F.datediff(F.col("__at").cast("date"), F.lit("1970-01-01").cast("date")) / 16).alias("__shard"),
+    # what is learned are counts over all groups, so a hash may stand for the group; values of a class at one
+    # instant count once, so an hour of a group holds no more rows than it has seconds and classes
+    timed = (
+        cells.filter(F.col("__at").isNotNull())
+        .select(F.xxhash64(*group, "field_name").alias("__cell"), "field_name", "__at", value_class(F.col("value")).alias("cls"))
+        .distinct()
+        .withColumn("__shard", F.floor(F.unix_seconds(F.col("__at").cast("timestamp")) / 3600))
     )
-    steps = sharded_neighbour(timed, ["__cell"], "__shard", ["__at", "__rid"], ["cls"])
+    steps = sharded_neighbour(timed, ["__cell"], "__shard", ["__at", "cls"], ["cls"])
     steps = steps.filter(F.col("prev_cls").isNotNull() & (F.col("prev_cls") != F.col("cls")))
     pair = steps.groupBy("field_name", F.least("prev_cls", "cls").alias("a"), F.greatest("prev_cls", "cls").alias("b")).agg(
         F.sum(F.when(F.col("cls") > F.col("prev_cls"), 1).otherwise(-1)).alias("balance"), F.count(F.lit(1)).alias("n")
