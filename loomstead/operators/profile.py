@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstead.session import cut_lineage
+
 #: Ranges of values per doubling, of which one is ordered to find a median.
 RANGES = 1024
 PLAIN_NUMBER = r"^\s*[+-]?(\d{1,3}(,\d{3})+|\d+)(\.\d+)?\s*$"
@@ -81,7 +83,8 @@ def profile_loads(tables: dict[str, DataFrame], rules: Sequence[ColumnRule], loa
     difference of the mean against the column's other loads. Empty tables give no rows; a null load
     is a load of its own.
     """
-    values = reduce(DataFrame.unionByName, [column_values(tables[r.table], r, load) for r in rules])
+    # the counts serve the statistics and the medians, so they are made once
+    values = cut_lineage(reduce(DataFrame.unionByName, [column_values(tables[r.table], r, load) for r in rules]))
     keys = ["table_name", "column_name", "load_id"]
     x = F.col("number")
     power = [F.sum(F.col("n") * F.pow(x, F.lit(k))).alias(f"s{k}") for k in (1, 2, 3, 4)]
@@ -110,14 +113,13 @@ def profile_loads(tables: dict[str, DataFrame], rules: Sequence[ColumnRule], loa
         F.sqrt(var).alias("stddev"),
         F.when(var > 0, (F.col("s3") / F.col("good") - 3 * mean * F.col("s2") / F.col("good") + 2 * mean * mean * mean) / F.pow(var, F.lit(1.5))).alias("skewness"),
     )
-    totals = out.groupBy("table_name", "column_name").agg(F.sum("s1").alias("t1"), F.sum("s2").alias("t2"), F.sum("good").alias("t0"))
-    rest_n = F.col("t0") - F.col("good")
-    rest_mean = (F.col("t1") - F.coalesce("s1", F.lit(0.0))) / F.nullif(rest_n, F.lit(0))
-    rest_var = F.greatest((F.col("t2") - F.coalesce("s2", F.lit(0.0))) / F.nullif(rest_n, F.lit(0)) - rest_mean * rest_mean, F.lit(0.0))
+    # a column has as many rows here as it has loads
+    column = Window.partitionBy("table_name", "column_name")
+    rest_n = F.sum("good").over(column) - F.col("good")
+    rest_mean = (F.sum("s1").over(column) - F.coalesce("s1", F.lit(0.0))) / F.nullif(rest_n, F.lit(0))
+    rest_var = F.greatest((F.sum("s2").over(column) - F.coalesce("s2", F.lit(0.0))) / F.nullif(rest_n, F.lit(0)) - rest_mean * rest_mean, F.lit(0.0))
     pooled = F.sqrt((F.col("stddev") * F.col("stddev") + rest_var) / 2)
-    return out.join(totals, ["table_name", "column_name"]).withColumn(
-        "standardised_difference", (F.col("mean") - rest_mean) / F.nullif(pooled, F.lit(0.0))
-    ).drop("t0", "t1", "t2")
+    return out.withColumn("standardised_difference", (F.col("mean") - rest_mean) / F.nullif(pooled, F.lit(0.0)))
 
 
 def unusual_loads(
@@ -128,11 +130,9 @@ def unusual_loads(
     Usual is the median over all loads. why joins missing, bad, median and distinct, as they apply.
     """
     keys = ["table_name", "column_name"]
-    typical = profile.groupBy(*keys).agg(
-        F.percentile("missing_share", F.lit(0.5)).alias("t_missing"),
-        F.percentile("median", F.lit(0.5)).alias("t_median"),
-        F.percentile("distinct_ratio", F.lit(0.5)).alias("t_distinct"),
-    )
+    column = Window.partitionBy(*keys)  # its loads
+    half = lambda c: F.percentile(c, F.lit(0.5)).over(column)
+    profile = profile.withColumns({"t_missing": half("missing_share"), "t_median": half("median"), "t_distinct": half("distinct_ratio")})
     flags = {
         "missing": F.abs(F.col("missing_share") - F.col("t_missing")) > missing_off + 1e-12,
         "bad": F.col("bad_share") > bad_above,
@@ -140,4 +140,4 @@ def unusual_loads(
         "distinct": F.col("distinct_ratio") < distinct_below * F.col("t_distinct"),
     }
     why = F.concat_ws("|", *[F.when(cond, F.lit(name)) for name, cond in flags.items()])
-    return profile.join(typical, keys).withColumn("why", why).filter(F.length("why") > 0).select(*keys, "load_id", "why")
+    return profile.withColumn("why", why).filter(F.length("why") > 0).select(*keys, "load_id", "why")
