@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.operators.skew import sharded_neighbour
+from loomstead.session import cut_lineage
 
 SMALL = 32
 SUPPORT = 5
@@ -81,6 +82,8 @@ def surviving_values(
     rows = df.select(*group, record_id, loaded_at, *fields)
     for g in group:
         rows = rows.filter(F.col(g).isNotNull())
+    # read by the maxima, the learning and the untimed values, so the groups' keys are made once
+    rows = cut_lineage(rows)
     at = F.col(loaded_at)
     rid = F.col(record_id)
     newest = [
