@@ -1,6 +1,5 @@
 """The driver's contract: queries and SQL agree on the smallest tables."""
 
-import importlib.util
 import math
 import os
 
@@ -9,7 +8,6 @@ import pytest
 
 import __spark_entry__ as entry
 
-CORE = [n for n in entry.queries() if importlib.util.find_spec("loomstead.llm.queries") is None or n not in __import__("loomstead.llm.queries", fromlist=["QUERIES"]).QUERIES]
 QUICK = ("event_window_quartiles", "complete_line_filter", "state_month_baseline", "interval_islands", "interval_overlap_pairs", "cross_source_best_match", "conditional_pivot", "percent_rank_avg", "equal_groups4", "spearman_by_group", "p2_found", "p3_found", "p5_found", "p7_found", "canonical_incidents")
 
 
