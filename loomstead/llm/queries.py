@@ -31,6 +31,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_survivors(spark, sf_dir).select("group_id", "field_name", "record_id")
 
 
+def p1_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per group, built field by field from the survivors; a field without valid values is null."""
+    kept = p1_survivors(spark, sf_dir)
+    return kept.groupBy("group_id").agg(*[F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f) for f in SURVIVING_FIELDS])
+
+
 def _event_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _identified(spark, sf_dir).select("record_id", "load_id", *PARTS, "associated_source_event_keys").filter("county is not null")
     records = records.withColumn("__named", source_keys("associated_source_event_keys"))
@@ -61,6 +67,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(_event_links(spark, sf_dir)).select(F.col("vertex").alias("record_id"), "group_id")
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with its group; one linked to no other is its own group."""
+    records = table(spark, sf_dir, "extreme_events_county").select("record_id")
+    return records.join(p4_found(spark, sf_dir), "record_id", "left").select("record_id", F.coalesce("group_id", "record_id").alias("group_id"))
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -88,7 +100,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_personal(docs, make_finder(docs, table(spark, sf_dir, "person_names")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p4_found, p8_ids, p8_decoded, p9_containers, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p1_golden, p4_found, p4_groups, p8_ids, p8_decoded, p9_containers, p10_found, p10_redacted)}
 
 _RECORDS = """
 records AS (
@@ -140,3 +152,11 @@ paired AS (
 SELECT record_id, min(other) AS group_id FROM reach GROUP BY record_id""",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
+SQL["p1_golden"] = SQL["p1_found"].replace(
+    "SELECT group_id, field_name, record_id FROM ranked WHERE r = 1",
+    "SELECT group_id, " + ", ".join(f"max(v) FILTER (field_name = '{f}') AS {f}" for f in SURVIVING_FIELDS) + " FROM ranked WHERE r = 1 GROUP BY 1",
+)
+SQL["p4_groups"] = SQL["p4_found"].replace(
+    "SELECT record_id, min(other) AS group_id FROM reach GROUP BY record_id",
+    ", found AS (SELECT record_id, min(other) AS group_id FROM reach GROUP BY record_id) SELECT e.record_id, coalesce(f.group_id, e.record_id) AS group_id FROM extreme_events_county e LEFT JOIN found f USING (record_id)",
+)
