@@ -13,6 +13,7 @@ from loomstead.llm.pii import find_personal, make_finder, redact_personal
 from loomstead.llm.survivorship import surviving_values
 from loomstead.operators.skew import skew_join
 from loomstead.plans.tables import table
+from loomstead.session import cut_lineage
 
 SURVIVING_FIELDS = ("total_damage_amount", "source_record_count", "semantic_duplicate_count")
 CAPACITY = 2_048
@@ -39,7 +40,8 @@ def p1_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _event_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _identified(spark, sf_dir).select("record_id", "load_id", *PARTS, "associated_source_event_keys").filter("county is not null")
-    records = records.withColumn("__named", source_keys("associated_source_event_keys"))
+    # keys are cut and lists are read once; names, identities and their look-ups come from the written tables
+    records = cut_lineage(records.withColumn("__named", source_keys("associated_source_event_keys")).drop("associated_source_event_keys"))
     own = F.concat_ws(":", "source", "source_id")
     names = records.select("record_id", "load_id", "county", F.explode(F.array_union(F.array(own), "__named")).alias("key"))
     by_name = shared_name_edges(names, ["load_id", "county", "key"], "record_id")
@@ -49,7 +51,7 @@ def _event_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "event_match_pairs").select("load_id", "event_key_a", "event_key_b")
     pairs = with_key_parts(with_key_parts(pairs, "event_key_a", a), "event_key_b", b).filter("a_county = b_county")
     # one row per pair of identities, so no identity repeats beyond its own pairs
-    pairs = pairs.select("load_id", *a, *b).distinct()
+    pairs = cut_lineage(pairs.select("load_id", *a, *b).distinct())
 
 
     def vertex_of(rows: DataFrame, names: tuple[str, ...], out: str) -> DataFrame:
