@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstead.operators.events import disaster_events, latest_complete_year
-from loomstead.operators.relational import assert_unique_key, complete_members, dense_series, equal_groups, first_per_key, percent_rank_average, top_with_minimum
+from loomstead.operators.relational import assert_unique_key, complete_members, complete_only, dense_series, equal_groups, first_per_key, percent_rank_average, top_with_minimum
 from loomstead.operators.stats import bootstrap_interval, quartiles, spearman
 from loomstead.operators.windows import HORIZONS, PRE, band_fit, event_windows, unpivot, window_summary
 
@@ -44,7 +44,7 @@ def price_risk(panel: DataFrame, risk: DataFrame, unit: str, rating: str, period
 def window_view(windows: DataFrame, line: str, unit: str, rating: str, value: str, pre: int = PRE, post: int = 36) -> dict[str, DataFrame]:
     """One view of complete lines: bands to five decimals, lines (mean, extremes, percentile rank, fit to the band) and the best line of each unit."""
     rows = windows.filter(F.col("event_window_month").between(-pre, post) & F.col(value).isNotNull())
-    rows = rows.join(complete_members(rows, [line], "event_window_month", size=pre + 1 + post), line, "left_semi")
+    rows = complete_only(rows, [line], "event_window_month", pre + 1 + post)
     rated = rows.filter(F.col(rating).isNotNull())
     bands = quartiles(rated, [rating, "event_window_month"], value, 5)
     facts = rows.groupBy(line, unit, rating).agg(F.avg(value).alias("avg_value"), F.min(value).alias("min_value"), F.max(value).alias("max_value"), F.max(F.abs(value)).alias("max_abs_value"))
@@ -68,7 +68,7 @@ def feature_analysis(features: DataFrame, names: Sequence[str], windows: DataFra
     """
     span = windows.filter(F.col("event_window_month").between(-pre, post) & F.col(value).isNotNull())
     mean_target = span.groupBy(unit).agg(F.avg(value).alias("mean_target"))
-    whole = span.join(complete_members(span, [line], "event_window_month", size=pre + 1 + post), line, "left_semi")
+    whole = complete_only(span, [line], "event_window_month", pre + 1 + post)
     target = whole.groupBy(unit, line).agg(F.median(value).alias("__m")).groupBy(unit).agg(F.median("__m").alias("target"))
     units = features.filter(F.col(rating).isin(*ratings)).join(target, unit, "left").join(mean_target, unit, "left")
     long = unpivot(units, [unit, rating, "target"], names, "feature", "x").filter("target is not null")

@@ -42,6 +42,16 @@ def complete_members(df: DataFrame, member: Sequence[str], axis: str, required:
     return have.join(F.broadcast(need), F.col("__have") == F.col("__need")).drop("__have", "__need")
 
 
+def complete_only(df: DataFrame, member: Sequence[str], axis: str, size: Column | int) -> DataFrame:
+    """Rows of the members that have size different axis values: division and the way back to the rows in one ordering.
+
+    For members of a bounded number of rows, such as the months of one line; complete_members serves others.
+    """
+    w = Window.partitionBy(*member)
+    need = F.lit(size) if isinstance(size, int) else size
+    return df.withColumn("__set", F.collect_set(axis).over(w)).filter((F.size("__set") == need) & (need > 0)).drop("__set")
+
+
 def islands(df: DataFrame, entity: Sequence[str], start: str, end: str, tolerance_days: int, order: Sequence[str] = (), name: str = "island") -> DataFrame:
     """Number the clusters of intervals per entity: a row opens a new one if it starts more than tolerance_days after the running maximum end.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.operators.relational import complete_members
+from loomstead.operators.relational import complete_only
 
 PRE = 12
 HORIZONS = (12, 24, 36, 48, 60)
@@ -59,17 +59,17 @@ def window_summary(windows: DataFrame, line: str, unit: str, rating: str, metric
     """
     long = unpivot(windows.withColumnRenamed(rating, "__rating"), [line, unit, "__rating", "event_window_month"], metrics)
     long = long.withColumn("horizon_months", F.explode(F.array(*[F.lit(h) for h in horizons]))).filter((F.col("event_window_month") >= -pre) & (F.col("event_window_month") <= F.col("horizon_months")))
-    keys = [line, "metric_name", "horizon_months"]
-    whole = long.groupBy(*keys).agg(F.countDistinct("event_window_month").alias("__n")).filter(F.col("__n") == pre + 1 + F.col("horizon_months")).drop("__n")
-    kept = long.join(whole, keys, "left_semi")
+    kept = complete_only(long, [line, "metric_name", "horizon_months"], "event_window_month", F.col("horizon_months") + pre + 1)
     kept = kept.withColumn("event_window_phase", phase("event_window_month", max(horizons), pre))
     q = F.percentile("metric_value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     aggs = [q.alias("__q"), F.avg("metric_value").alias("mean"), F.countDistinct(line).alias("county_event_count"), F.countDistinct(unit).alias("county_count")]
     by = ["horizon_months", "event_window_month", "event_window_phase", "metric_name"]
-    everyone = kept.groupBy(*by).agg(*aggs).select(F.lit("all_counties").alias("aggregation_level"), F.lit(None).cast("string").alias("risk_rating"), *by, "__q", "mean", "county_event_count", "county_count")
-    rated = kept.filter(F.col("__rating").isin(*ratings)) if ratings else kept.filter(F.col("__rating").isNotNull())
-    rated = rated.groupBy("__rating", *by).agg(*aggs).select(F.lit("nri_risk_rating").alias("aggregation_level"), F.col("__rating").alias("risk_rating"), *by, "__q", "mean", "county_event_count", "county_count")
-    out = everyone.unionByName(rated)
+    # each row counts at both levels: the level all_counties has no rating, whatever the row's is
+    known = F.col("__rating").isin(*ratings) if ratings else F.col("__rating").isNotNull()
+    level = lambda name, value: F.struct(F.lit(name).alias("aggregation_level"), value.cast("string").alias("risk_rating"))
+    levels = F.array(level("all_counties", F.lit(None)), F.when(known, level("nri_risk_rating", F.col("__rating"))))
+    kept = kept.withColumn("__l", F.explode(F.filter(levels, lambda x: x.isNotNull()))).select("*", "__l.*")
+    out = kept.groupBy("aggregation_level", "risk_rating", *by).agg(*aggs)
     return out.withColumns({"q25": F.col("__q")[0], "median": F.col("__q")[1], "q75": F.col("__q")[2]}).drop("__q")
 
 
@@ -95,16 +95,14 @@ def baseline_windows(events: DataFrame, panel: DataFrame, unit: str, region: str
     long = unpivot(panel, [unit, region, period], metrics)
     own = grid.join(affected, "event_group").join(long, [unit, period])
     size = pre + 1 + post
-    whole = complete_members(own, ["event_group", unit, "metric_name"], "event_window_month", size=size)
-    own = own.join(whole, ["event_group", unit, "metric_name"], "left_semi")
+    own = complete_only(own, ["event_group", unit, "metric_name"], "event_window_month", size)
     month_key = ["event_group", "event_window_month", "metric_name"]
     treated = own.groupBy(*month_key).agg(F.median("metric_value").alias("median"), F.countDistinct(unit).alias("county_count")).withColumn("status", F.lit("affected"))
     wanted = own.select("event_group", region, period, "event_window_month", "metric_name").distinct()
     pool = wanted.join(long, [region, period, "metric_name"]).join(affected, ["event_group", unit], "left_anti")
     control = pool.groupBy("event_group", region, period, "event_window_month", "metric_name").agg(F.median("metric_value").alias("control"))
     lines = own.join(control, ["event_group", region, period, "event_window_month", "metric_name"])
-    whole_control = complete_members(lines, ["event_group", unit, "metric_name"], "event_window_month", size=size)
-    base = lines.join(whole_control, ["event_group", unit, "metric_name"], "left_semi").groupBy(*month_key).agg(F.median("control").alias("median"), F.countDistinct(unit).alias("county_count")).withColumn("status", F.lit("baseline"))
+    base = complete_only(lines, ["event_group", unit, "metric_name"], "event_window_month", size).groupBy(*month_key).agg(F.median("control").alias("median"), F.countDistinct(unit).alias("county_count")).withColumn("status", F.lit("baseline"))
     both = treated.unionByName(base)
     return both.withColumn("line_id", F.concat_ws(":", "event_group", "status", "metric_name")).withColumn("event_window_phase", phase("event_window_month", post, pre))
 

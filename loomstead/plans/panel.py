@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstead.operators import playbook, stats, windows
 from loomstead.operators.events import latest_complete_year
-from loomstead.operators.relational import complete_members, dense_series, latest_years
+from loomstead.operators.relational import complete_members, complete_only, dense_series, latest_years
 from loomstead.plans.tables import table
 
 RATINGS = ("Very Low", "Low", "Medium", "High", "Very High")
@@ -124,7 +124,7 @@ def event_expectation(spark: SparkSession, sf: str) -> DataFrame:
 
 def band_fit(spark: SparkSession, sf: str) -> DataFrame:
     w = _windows(spark, sf, 12)
-    w = w.join(complete_members(w, ["event_key"], "event_window_month", size=25), "event_key", "left_semi")
+    w = complete_only(w, ["event_key"], "event_window_month", 25)
     bands = stats.quartiles(w, ["risk_rating", "event_window_month"], "median_price")
     out = windows.band_fit(w, bands, "event_key", ["risk_rating", "event_window_month"], "median_price")
     return out.select("event_key", "risk_rating", "months", "eligible", *[r6(c).alias(c) for c in ("max_deviation", "mean_deviation", "median_standardised_gap", "above_median_share", "avg_metric")])
