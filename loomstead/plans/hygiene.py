@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from loomstead.operators.imputation import propagate_numbers
 from loomstead.operators.intervals import continuous_periods, interval_gaps
 from loomstead.operators.profile import ColumnRule, profile_loads, unusual_loads
 from loomstead.plans.tables import table
-from loomstead.sources.drift import field_kinds, number_text, schema_changes, unified_table
+from loomstead.sources.drift import number_text, schema_changes, series_table
 from loomstead.sources.rejects import INCOME_LINES, load_strict, reject_reasons
 
 FILL_COLUMNS = ("median_ppsf_usd", "homes_sold_yoy")
@@ -76,10 +78,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = _drifting(spark, sf_dir)
-    # the field names of all files: schema-sized, whatever the rows
-    names = [r["path"] for r in field_kinds(files, ["file_id"], "payload").filter("path != ''").select("path").distinct().collect()]
+    """All fields of all files; shares, margins and rates of dp02 are numbers, what has no type of its own is text."""
     code = lambda width: lambda c: F.lpad(F.trim(c), width, "0")
+    text = lambda c: c
     wanted = {
         "year": lambda c: F.trim(c).try_cast("int"),
         "state": code(2),
@@ -87,9 +88,12 @@ def p6_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         **{f"dp02_{n}_pct": number_text for n in ("0066", "0067", "0072", "0092")},
         "dp02_0066_moe": number_text,
         "domestic_in_migration_rate": number_text,
-        "source_note": lambda c: c,
+        "source_note": text,
     }
-    return unified_table(files, ["series_id", "file_id", "file_seq", "row_no"], "payload", wanted, names)
+    return series_table(
+        _drifting(spark, sf_dir), ["series_id", "file_id", "file_seq", "row_no"], "series_id", "file_seq", "file_id", "payload",
+        wanted, lambda c: number_text if re.fullmatch(r"dp02_\d{4}_(pct|moe)", c) else text,
+    )
 
 
 def _income_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstead.operators.skew import sharded_neighbour
+from loomstead.operators.skew import sharded_neighbour, skew_join
 
 #: Spellings of one quantity. A name is cut into words, each of which is replaced by its stem.
 STEMS = {
@@ -207,6 +207,28 @@ def _changes(old: tuple, new: tuple) -> list[tuple[str, str, str | None]]:
     return _moves(edit_script(_tree(old), _tree(new))[1])
 
 
+def _scripts(df: DataFrame, series: str, sequence: str, file_id: str, payload: str) -> DataFrame:
+    """(series, sequence, file_id, path, change_kind, old_path): the script of each file against the one before it in its series."""
+    keys = [series, sequence, file_id]
+    files = file_schemas(df.filter(F.col(series).isNotNull() & F.col(sequence).isNotNull()), keys, payload)
+    files = files.withColumn("__shard", F.floor(F.col(sequence) / 256).cast("long"))
+    pairs = sharded_neighbour(files, [series], "__shard", [sequence, file_id], ["fields", file_id])
+    pairs = pairs.filter(F.col("prev_fields").isNotNull()).select(*keys, "prev_fields", "fields")
+    out = ", ".join([*(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys), "path string, change_kind string, old_path string"])
+
+    def diff(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for *key, a, b in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+                for kind, at, was in _changes(tuple((x["path"], x["kinds"]) for x in a), tuple((x["path"], x["kinds"]) for x in b)):
+                    rows.append((*key, at, kind, was))
+            columns = list(zip(*rows)) or [[]] * 6
+            types = [batch.schema.field(i).type for i in range(3)] + [pa.string()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=[*keys, "path", "change_kind", "old_path"])
+
+    return pairs.mapInArrow(diff, out)
+
+
 def schema_changes(df: DataFrame, series: str, sequence: str, file_id: str, payload: str) -> DataFrame:
     """(file_id, field_name, change_kind, old_name): changes of each file against the one before it in its series.
 
@@ -214,25 +236,148 @@ def schema_changes(df: DataFrame, series: str, sequence: str, file_id: str, payl
     first file of a series has no changes. A file without a readable payload has no fields. A null series
     or sequence belongs to no series: such files are not compared.
     """
-    files = file_schemas(df.filter(F.col(series).isNotNull() & F.col(sequence).isNotNull()), [series, sequence, file_id], payload)
-    files = files.withColumn("__shard", F.floor(F.col(sequence) / 256).cast("long"))
-    pairs = sharded_neighbour(files, [series], "__shard", [sequence, file_id], ["fields", file_id])
-    pairs = pairs.filter(F.col("prev_fields").isNotNull()).select(F.col(file_id).alias("file_id"), "prev_fields", "fields")
-    out = "file_id bigint, field_name string, change_kind string, old_name string"
+    dotted = lambda c: F.translate(c, "\x1f", ".")
+    return _scripts(df, series, sequence, file_id, payload).select(
+        F.col(file_id).cast("long").alias("file_id"), dotted("path").alias("field_name"), "change_kind", dotted("old_path").alias("old_name")
+    ).distinct()
 
-    def diff(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+@lru_cache(maxsize=100_000)
+def column_name(path: str) -> str:
+    """The column of a path if no later file moves it: the quantities of its steps, joined by dots."""
+    return ".".join(quantity(s) or s.lower() for s in path.split("\x1f"))
+
+
+def _stored(path: str, kind: str) -> str | None:
+    """The path whose column holds the values of a path: that of the outermost array around it; None for an object."""
+    steps = path.split("\x1f")
+    if "[]" in steps[1:]:
+        return "\x1f".join(steps[: steps.index("[]", 1)])
+    return None if kind == "object" else path
+
+
+class _Number(str):
+    """A JSON number as it is written."""
+
+
+def _json(value: object) -> str:
+    if isinstance(value, list):
+        return "[" + ",".join(map(_json, value)) + "]"
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_json(v)}" for k, v in value.items()) + "}"
+    return str(value) if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
+
+
+def _values(value: dict, path: str = "") -> Iterator[tuple[str, str]]:
+    """(path, text) of all that is not null: numbers as written, arrays as JSON."""
+    for k, v in value.items():
+        at = f"{path}\x1f{k}" if path else k
+        if isinstance(v, dict) and "[]" not in v:
+            yield from _values(v, at)
+        elif v is not None and at:
+            yield at, (str(v) if isinstance(v, str) else _json(v)).encode("utf-8", "replace").decode()
+
+
+def _compose(scripts: DataFrame, series: str, sequence: str, file_id: str) -> DataFrame:
+    """(series, own, moves): the column that files before each move of a field put it in, with all later moves applied.
+
+    Renaming keeps the quantity, so only moves change a column. One backward pass a series over its moves.
+    """
+    moved = scripts.filter("change_kind = 'moved'").select(series, sequence, file_id, "path", "old_path")
+    kinds = {k: moved.schema[k].dataType.simpleString() for k in (series, sequence, file_id)}
+    out = f"`{series}` {kinds[series]}, own string, `{sequence}` {kinds[sequence]}, `{file_id}` {kinds[file_id]}, target string"
+
+    def backward(moves: pa.Table) -> pa.Table:
+        by_file: dict = {}
+        for s, n, f, new, old in zip(*[c.to_pylist() for c in moves.columns]):
+            if _stored(new, "") == new and _stored(old, "") == old:
+                by_file.setdefault((n, f), []).append((s, column_name(old), column_name(new)))
+        final: dict[str, str] = {}
+        rows = []
+        for n, f in sorted(by_file, reverse=True):
+            step = {old: final.get(new, new) for _, old, new in by_file[n, f]}
+            rows += [(s, old, n, f, step[old]) for s, old, _ in by_file[n, f]]
+            final |= step
+        types = [moves.schema.field(0).type, pa.string(), moves.schema.field(1).type, moves.schema.field(2).type, pa.string()]
+        return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(list(zip(*rows)) or [[]] * 5, types)], names=[series, "own", sequence, file_id, "target"])
+
+    steps = moved.groupBy(series).applyInArrow(backward, out)
+    return steps.groupBy(series, "own").agg(F.array_sort(F.collect_list(F.struct(F.struct(sequence, file_id).alias("at"), "target"))).alias("moves"))
+
+
+def column_maps(df: DataFrame, series: str, sequence: str, file_id: str, payload: str) -> DataFrame:
+    """(series, sequence, file_id, own, target): the column of each field of each file, by all scripts after it in its series.
+
+    own is the column by the field's name alone. If a file holds another field in the column that a move
+    leads to, the moved field stays in its own, so no two fields of a file are merged but spellings of one quantity.
+    """
+    keys = [series, sequence, file_id]
+    fields = field_kinds(df, keys, payload).filter("path != ''").select(*keys, "path", "kind")
+    out = ", ".join([*(f"`{k}` {fields.schema[k].dataType.simpleString()}" for k in keys), "own string"])
+
+    def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for f, a, b in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-                for kind, at, was in _changes(tuple((x["path"], x["kinds"]) for x in a), tuple((x["path"], x["kinds"]) for x in b)):
-                    rows.append((f, at.replace("\x1f", "."), kind, was and was.replace("\x1f", ".")))
-            columns = list(zip(*rows)) or [[], [], [], []]
+            own = [(p := _stored(path, kind)) and column_name(p) for path, kind in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(own, type=pa.string())], names=[*keys, "own"])
+
+    fields = fields.mapInArrow(named, out).filter("own is not null").distinct()
+    moves = _compose(_scripts(df, *keys, payload), *keys)
+    here = F.struct(F.col(sequence), F.col(file_id))
+    later = F.get(F.filter("moves", lambda m: m["at"] > here), F.lit(0))["target"]
+    fields = fields.join(moves, [series, "own"], "left").withColumn("target", F.coalesce(later, "own"))
+    of_file = fields.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("own", "target"))).alias("pairs"))
+    taken = F.transform(F.filter("pairs", lambda p: p["own"] == p["target"]), lambda p: p["own"])
+    of_file = of_file.withColumn("taken", taken).withColumn("moved", F.filter("pairs", lambda p: p["own"] != p["target"]))
+    first = lambda p: F.filter("moved", lambda q: q["target"] == p["target"])[0]["own"]
+    kept = F.transform("pairs", lambda p: F.struct(p["own"].alias("own"), F.when((p["own"] == p["target"]) | F.array_contains("taken", p["target"]) | (first(p) != p["own"]), p["own"]).otherwise(p["target"]).alias("target")))
+    return of_file.select(*keys, F.explode(kept).alias("p")).select(*keys, "p.own", "p.target")
+
+
+def series_table(
+    df: DataFrame, keys: Sequence[str], series: str, sequence: str, file_id: str, payload: str,
+    wanted: dict[str, Callable[[Column], Column]], other: Callable[[str], Callable[[Column], Column]],
+) -> DataFrame:
+    """One consistent table of all files: their scripts, composed along each series, say into which column each field goes.
+
+    A field is in the column of the last place and quantity that its series gives it, nested ones with
+    dots; an array is one column of JSON text. Columns of wanted are always there and come first, typed
+    as said; all others that any file has follow by name, typed by other. Of two spellings of one
+    quantity in a row the first that is not null counts. Unreadable payloads give nulls. A column named
+    as one of keys gets the prefix payload_.
+    """
+    at = [series, sequence, file_id]
+    maps = column_maps(df, *at, payload)
+    # the columns of all files: schema-sized, whatever the rows
+    columns = sorted({*wanted, *(r["target"] for r in maps.select("target").distinct().collect())})
+    moved = maps.filter("own != target").groupBy(*at).agg(F.map_from_entries(F.collect_list(F.struct("own", "target"))).alias("__moved"))
+    moved = moved.join(df.groupBy(*at).agg(F.count(F.lit(1)).alias("__n")), at)
+    rows = skew_join(df.select(*dict.fromkeys([*keys, *at]), F.col(payload).alias("__payload")), moved, at, "__n", [payload if payload in keys else "__payload"])
+    rows = rows.select(*keys, "__moved", "__payload")
+    place = {c: i for i, c in enumerate(columns)}
+    out = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), *(f"c{i} string" for i in place.values())])
+
+    def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [[None] * batch.num_rows for _ in columns]
+            for i, (moves, text) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist())):
+                try:
+                    parsed = json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_Number) if text is not None else None
+                    found = sorted(_values(parsed)) if isinstance(parsed, dict) else []
+                except (ValueError, RecursionError):
+                    continue
+                moves = dict(moves or ())
+                for path, value in found:
+                    own = column_name(path)
+                    cells = data[place[moves.get(own, own)]]
+                    if cells[i] is None:
+                        cells[i] = value
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=t) for c, t in zip(columns, [pa.int64(), pa.string(), pa.string(), pa.string()])],
-                names=["file_id", "field_name", "change_kind", "old_name"],
+                [*(batch.column(i) for i in range(len(keys))), *(pa.array(c, type=pa.string()) for c in data)], names=[*keys, *(f"c{i}" for i in place.values())]
             )
 
-    return pairs.mapInArrow(diff, out).distinct()
+    taken = {k.lower() for k in keys}
+    typed = {**wanted, **{c: other(c) for c in columns if c not in wanted}}
+    return rows.mapInArrow(project, out).select(*keys, *[f(F.col(f"c{place[c]}")).alias(f"payload_{c}" if c in taken else c) for c, f in typed.items()])
 
 
 def unified_table(

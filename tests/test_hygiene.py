@@ -195,6 +195,32 @@ def test_unified_table(spark):
     assert rows(out, "file_id", "row_no", "year", "dp02_0066_pct") == {(1, 0, 2013, 21.6), (1, 1, None, None), (1, 2, None, None), (2, 0, 2014, 20.0)}
 
 
+def test_table_of_all_files_follows_the_scripts(spark, tmp_path):
+    from loomstead.plans.hygiene import p6_table
+
+    files = [
+        (10, 1, [{"year": "2013", "dp02_0088_pct": "3.50%", "x": {"b": 1, "c": 7}, "old": {"p": {"note": "n"}}, "tags": [1.25, {"k": "v"}]}, None, "[1]"]),
+        (7, 2, [{"Year": 2014, "DP02_0088PE": 4, "B": 2, "X": {"c": 8}, "mid": {"note": "m"}}]),
+        (9, 3, [{"survey_year": "2015", "B": 3, "note": "l", "row_no": 5}]),
+        (4, 4, [{"year": 2016, "x": {"b": 4, "b2": 5}}]),
+    ]
+    series(spark, files).write.parquet(str(tmp_path / "census_acs5_county_dp02_test.parquet"))
+    out = p6_table(spark, str(tmp_path))
+    got = {(r["file_id"], r["row_no"]): {k: v for k, v in r.asDict().items() if v is not None and k not in ("series_id", "file_id", "file_seq", "row_no")} for r in out.collect()}
+    assert got == {
+        (10, 0): {"year": 2013, "dp02_0088_pct": 3.5, "x.b": "1", "x.c": "7", "note": "n", "tags": '[1.25,{"k":"v"}]'}, (10, 1): {}, (10, 2): {},
+        (7, 0): {"year": 2014, "dp02_0088_pct": 4.0, "x.b": "2", "x.c": "8", "note": "m"},
+        (9, 0): {"year": 2015, "x.b": "3", "note": "l", "payload_row_no": "5"},
+        (4, 0): {"year": 2016, "x.b": "4", "x.b2": "5"},
+    }
+
+
+def test_a_move_does_not_merge_two_fields_of_a_file(spark):
+    df = series(spark, [(1, 1, [{"b": 1, "x": {"b": 2}}]), (2, 2, [{"x": {"b": 3}}]), (3, 3, [{"b": 4}])])
+    out = drift.series_table(df, ["file_id"], "series_id", "file_seq", "file_id", "payload", {}, lambda c: lambda v: v)
+    assert rows(out.select("file_id", "b", F.col("`x.b`").alias("xb")), "file_id", "b", "xb") == {(1, "1", "2"), (2, "3", None), (3, "4", None)}
+
+
 LINES = {
     1: ('1,01,001,"A County, AL",2013,0050,308290,0', None),
     2: ('1,01,001,"A ""Old"" County, AL",2013,0050, -1.5E3 ,0\r', None),
