@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from loomstead.plans.tables import table
 
 RATINGS = ("Very Low", "Low", "Medium", "High", "Very High")
 DIGITS = 6
+Events = Callable[[SparkSession, str], DataFrame]
 
 
 def r6(c: Column | str) -> Column:
@@ -36,11 +40,7 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("unit", "region", "period").agg(F.median("o_totalprice").alias("median_price"), F.count(F.lit(1)).alias("orders_n"), F.avg("o_totalprice").alias("mean_price"))
 
 
-def great_orders(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders from the 99th percentile on, as events of orderkey mod 90 days."""
-    rows = located_orders(spark, sf)
-    cap = table(spark, sf, "orders").agg(F.percentile("o_totalprice", F.lit(0.99)).alias("cap"))
-    rows = rows.crossJoin(F.broadcast(cap)).filter("o_totalprice >= cap")
+def _as_events(rows: DataFrame) -> DataFrame:
     end = F.date_add("day", (F.col("o_orderkey") % 90).cast("int"))
     return rows.select(
         F.col("o_orderkey").alias("event_key"), "unit", rating("unit").alias("risk_rating"), F.lit("orders").alias("event_source"), F.col("o_orderkey").cast("string").alias("source_event_id"),
@@ -48,29 +48,45 @@ def great_orders(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _windows(spark: SparkSession, sf: str, post: int) -> DataFrame:
-    return windows.event_windows(great_orders(spark, sf), panel(spark, sf), "unit", "period", windows.PRE, post)
+def all_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """All located orders as events of orderkey mod 90 days."""
+    return _as_events(located_orders(spark, sf))
+
+
+def great_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders from the 99th percentile on, as events of orderkey mod 90 days; the events of the queries with SQL."""
+    cap = table(spark, sf, "orders").agg(F.percentile("o_totalprice", F.lit(0.99)).alias("cap"))
+    return _as_events(located_orders(spark, sf).crossJoin(F.broadcast(cap)).filter("o_totalprice >= cap"))
+
+
+def over_all_orders(*queries: Callable[..., DataFrame]) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Each query once more, over all located orders as events."""
+    return {f"{f.__name__}_all_orders": partial(f, events=all_orders) for f in queries}
+
+
+def _windows(spark: SparkSession, sf: str, post: int, events: Events) -> DataFrame:
+    return windows.event_windows(events(spark, sf), panel(spark, sf), "unit", "period", windows.PRE, post)
 
 
-def event_window_quartiles(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.quartiles(_windows(spark, sf, 12), ["risk_rating", "event_window_month"], "median_price")
+def event_window_quartiles(spark: SparkSession, sf: str, events: Events = great_orders) -> DataFrame:
+    return stats.quartiles(_windows(spark, sf, 12, events), ["risk_rating", "event_window_month"], "median_price")
 
 
-def complete_window_summary(spark: SparkSession, sf: str) -> DataFrame:
-    out = windows.window_summary(_windows(spark, sf, 36), "event_key", "unit", "risk_rating", ["median_price", "orders_n"], (12, 24, 36), ratings=RATINGS)
+def complete_window_summary(spark: SparkSession, sf: str, events: Events = great_orders) -> DataFrame:
+    out = windows.window_summary(_windows(spark, sf, 36, events), "event_key", "unit", "risk_rating", ["median_price", "orders_n"], (12, 24, 36), ratings=RATINGS)
     return out.withColumns({c: r6(c) for c in ("q25", "median", "q75", "mean")})
 
 
-def complete_line_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return complete_members(_windows(spark, sf, 36), ["event_key"], "event_window_month", size=49, value="median_price")
+def complete_line_filter(spark: SparkSession, sf: str, events: Events = great_orders) -> DataFrame:
+    return complete_members(_windows(spark, sf, 36, events), ["event_key"], "event_window_month", size=49, value="median_price")
 
 
-def event_phase_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return _windows(spark, sf, 24).groupBy("event_window_phase").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("event_key").alias("n_events"), F.min("months_from_event_start").alias("first_month"), F.max("months_after_event_end").alias("last_month"))
+def event_phase_counts(spark: SparkSession, sf: str, events: Events = great_orders) -> DataFrame:
+    return _windows(spark, sf, 24, events).groupBy("event_window_phase").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("event_key").alias("n_events"), F.min("months_from_event_start").alias("first_month"), F.max("months_after_event_end").alias("last_month"))
 
 
-def state_month_baseline(spark: SparkSession, sf: str) -> DataFrame:
-    out = windows.baseline_windows(great_orders(spark, sf), panel(spark, sf), "unit", "region", "period", ["median_price"], 12, 12)
+def state_month_baseline(spark: SparkSession, sf: str, events: Events = great_orders) -> DataFrame:
+    out = windows.baseline_windows(events(spark, sf), panel(spark, sf), "unit", "region", "period", ["median_price"], 12, 12)
     return out.select("event_group", "event_window_month", "metric_name", "status", r6("median").alias("median"), "county_count", "event_window_phase")
 
 
@@ -78,12 +94,12 @@ def latest_complete_year_window(spark: SparkSession, sf: str) -> DataFrame:
     return latest_complete_year(panel(spark, sf), "period")
 
 
-def median_of_medians(spark: SparkSession, sf: str) -> DataFrame:
-    return stats.median_of_medians(_windows(spark, sf, 12), ["unit"], ["event_key"], "median_price").select("unit", r6("target").alias("target"))
+def median_of_medians(spark: SparkSession, sf: str, events: Events = great_orders) -> DataFrame:
+    return stats.median_of_medians(_windows(spark, sf, 12, events), ["unit"], ["event_key"], "median_price").select("unit", r6("target").alias("target"))
 
 
-def mean_by_key(spark: SparkSession, sf: str) -> DataFrame:
-    return _windows(spark, sf, 12).groupBy("unit").agg(r6(F.avg("median_price")).alias("target"), F.count(F.lit(1)).alias("n"))
+def mean_by_key(spark: SparkSession, sf: str, events: Events = great_orders) -> DataFrame:
+    return _windows(spark, sf, 12, events).groupBy("unit").agg(r6(F.avg("median_price")).alias("target"), F.count(F.lit(1)).alias("n"))
 
 
 def dense_month_array(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,12 +134,12 @@ def global_zscore_index(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("unit", "period", *[r6(f"z_{c}").alias(f"z_{c}") for c in ("median_price", "orders_n", "mean_price")], r6("composite").alias("composite"))
 
 
-def event_expectation(spark: SparkSession, sf: str) -> DataFrame:
-    return playbook.event_expectation(_windows(spark, sf, 36), "risk_rating", "median_price", 100.0).select("risk_rating", r6("change").alias("change"), "direction")
+def event_expectation(spark: SparkSession, sf: str, events: Events = great_orders) -> DataFrame:
+    return playbook.event_expectation(_windows(spark, sf, 36, events), "risk_rating", "median_price", 100.0).select("risk_rating", r6("change").alias("change"), "direction")
 
 
-def band_fit(spark: SparkSession, sf: str) -> DataFrame:
-    w = _windows(spark, sf, 12)
+def band_fit(spark: SparkSession, sf: str, events: Events = great_orders) -> DataFrame:
+    w = _windows(spark, sf, 12, events)
     w = complete_only(w, ["event_key"], "event_window_month", 25)
     bands = stats.quartiles(w, ["risk_rating", "event_window_month"], "median_price")
     out = windows.band_fit(w, bands, "event_key", ["risk_rating", "event_window_month"], "median_price")
@@ -135,10 +151,10 @@ def ten_year_avg(spark: SparkSession, sf: str) -> DataFrame:
     return latest_years(rows, "year", 4).groupBy("unit").agg(r6(F.avg("o_totalprice")).alias("avg_price"), F.countDistinct("year").alias("years"))
 
 
-def eligible_event_range(spark: SparkSession, sf: str) -> DataFrame:
+def eligible_event_range(spark: SparkSession, sf: str, events: Events = great_orders) -> DataFrame:
     p = panel(spark, sf)
     bounds = p.agg(F.add_months(F.min("period"), 12).alias("lo"), F.add_months(F.max("period"), -12).alias("hi"))
-    ev = great_orders(spark, sf).crossJoin(F.broadcast(bounds)).filter("event_start_month >= lo and event_end_month <= hi")
+    ev = events(spark, sf).crossJoin(F.broadcast(bounds)).filter("event_start_month >= lo and event_end_month <= hi")
     return ev.join(p.select("unit"), "unit", "left_semi").select("event_key", "unit", "event_start_month", "event_end_month")
 
 
@@ -149,6 +165,10 @@ QUERIES = {
         dense_month_array, risk_group_series, historical_assignment, relative_position, global_zscore_index, event_expectation, band_fit, ten_year_avg, eligible_event_range,
     )
 }
+QUERIES |= over_all_orders(
+    event_window_quartiles, complete_window_summary, complete_line_filter, event_phase_counts, state_month_baseline, median_of_medians,
+    mean_by_key, event_expectation, band_fit, eligible_event_range,
+)
 
 _RATING = "CASE {0} % 5 WHEN 0 THEN 'Very Low' WHEN 1 THEN 'Low' WHEN 2 THEN 'Medium' WHEN 3 THEN 'High' ELSE 'Very High' END"
 _LOCATED = """located AS (

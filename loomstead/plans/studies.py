@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstead.operators import analysis
-from loomstead.plans.panel import RATINGS, _EVENTS, _PANEL, _RATING, _win, _windows, great_orders, panel, r6, rating
+from loomstead.plans.panel import RATINGS, Events, _EVENTS, _PANEL, _RATING, _win, _windows, great_orders, over_all_orders, panel, r6, rating
 from loomstead.plans.tables import table
 
 YEARS = 4
@@ -27,31 +27,32 @@ def price_risk_bands(spark: SparkSession, sf: str) -> DataFrame:
     return out["bands"]
 
 
-def window_view_lines(spark: SparkSession, sf: str) -> DataFrame:
-    out = analysis.window_view(_windows(spark, sf, 12), "event_key", "unit", "risk_rating", "median_price", 12, 12)
+def window_view_lines(spark: SparkSession, sf: str, events: Events = great_orders) -> DataFrame:
+    out = analysis.window_view(_windows(spark, sf, 12, events), "event_key", "unit", "risk_rating", "median_price", 12, 12)
     return out["lines"].select("event_key", "unit", "risk_rating", r6("avg_value").alias("avg_value"), "min_value", "max_value", "pct_rank")
 
 
-def feature_members(spark: SparkSession, sf: str) -> DataFrame:
+def feature_members(spark: SparkSession, sf: str, events: Events = great_orders) -> DataFrame:
     """Subgroups of the units of each rating by their median target after events."""
     feats = panel(spark, sf).groupBy("unit").agg(F.avg("orders_n").alias("volume"), F.avg("median_price").alias("price")).join(_risk(spark, sf), "unit")
-    out = analysis.feature_analysis(feats, ["volume", "price"], _windows(spark, sf, 12).drop("region"), "event_key", "unit", "risk_rating", "median_price", RATINGS, 12, 12)
+    out = analysis.feature_analysis(feats, ["volume", "price"], _windows(spark, sf, 12, events).drop("region"), "event_key", "unit", "risk_rating", "median_price", RATINGS, 12, 12)
     return out["members"].select("unit", "risk_rating", r6("target").alias("target"), "subgroup")
 
 
-def feature_correlations(spark: SparkSession, sf: str) -> DataFrame:
+def feature_correlations(spark: SparkSession, sf: str, events: Events = great_orders) -> DataFrame:
     feats = panel(spark, sf).groupBy("unit").agg(F.avg("orders_n").alias("volume"), F.avg("median_price").alias("price")).join(_risk(spark, sf), "unit")
-    out = analysis.feature_analysis(feats, ["volume", "price"], _windows(spark, sf, 12).drop("region"), "event_key", "unit", "risk_rating", "median_price", RATINGS, 12, 12)
+    out = analysis.feature_analysis(feats, ["volume", "price"], _windows(spark, sf, 12, events).drop("region"), "event_key", "unit", "risk_rating", "median_price", RATINGS, 12, 12)
     return out["correlations"]
 
 
-def unit_histories(spark: SparkSession, sf: str) -> DataFrame:
-    out = analysis.county_histories(panel(spark, sf), great_orders(spark, sf), "unit", "period", "orders_n", YEARS)
+def unit_histories(spark: SparkSession, sf: str, events: Events = great_orders) -> DataFrame:
+    out = analysis.county_histories(panel(spark, sf), events(spark, sf), "unit", "period", "orders_n", YEARS)
     keys = F.array_join(F.transform("events", lambda e: e["event_key"].cast("string")), ",")
     return out.select("unit", F.size("history").alias("months"), F.size(F.filter("history", lambda x: x.isNotNull())).alias("observed"), "sufficient", keys.alias("event_keys"))
 
 
 QUERIES = {f.__name__: f for f in (price_risk_latest, price_risk_bands, window_view_lines, feature_members, feature_correlations, unit_histories)}
+QUERIES |= over_all_orders(window_view_lines, feature_members, feature_correlations, unit_histories)
 
 _SPAN = f"{_PANEL}, y AS (SELECT max(y) AS y FROM (SELECT year(period) AS y FROM panel GROUP BY 1 HAVING count(DISTINCT month(period)) = 12)), rec AS (SELECT p.*, {_RATING.format('unit')} AS risk_rating FROM panel p, y WHERE year(period) BETWEEN y - {YEARS - 1} AND y)"
 _FULL = "full_lines AS (SELECT event_key FROM w GROUP BY 1 HAVING count(DISTINCT m) = 25), k AS (SELECT w.* FROM w JOIN full_lines USING (event_key))"
