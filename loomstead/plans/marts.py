@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstead.functions import clean
@@ -22,43 +24,56 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return e.withColumn("__county", F.concat_ws("-", "load_id", "__county"))
 
 
-def _declarations(spark: SparkSession, sf: str) -> DataFrame:
+def _records(spark: SparkSession, sf: str, source: str, undated: bool) -> DataFrame:
+    """Event records of a source; without a start only if undated, as the SQL of the queries leaves those out."""
+    rows = _events(spark, sf).filter(F.col("__source") == source)
+    return rows if undated else rows.filter("event_start is not null")
+
+
+def _end() -> Column:
+    """The end, not before the start; null without a start."""
+    return F.when(F.col("event_start").isNotNull(), F.greatest("event_start", "event_end"))
+
+
+def _declarations(spark: SparkSession, sf: str, undated: bool = False) -> DataFrame:
     kind = F.element_at(F.array(F.lit("DR"), F.lit("EM"), F.lit("FM"), F.lit("OT")), (F.col("record_id") % 4 + 1).cast("int"))
-    return _events(spark, sf).filter("__source = 'fema' and event_start is not null").select(
+    return _records(spark, sf, "fema", undated).select(
         F.col("record_id").cast("string").alias("id"), F.col("record_id").alias("ord"), F.col("__county").alias("fips"), F.col("__sid").alias("disasterNumber"), kind.alias("declarationType"),
         F.col("event_type").alias("incidentType"), F.col("event_name").alias("declarationTitle"), F.col("event_start").cast("date").alias("incident_begin_date"),
-        F.greatest(F.col("event_start"), F.col("event_end")).cast("date").alias("incident_end_date"), F.col("loaded_at").cast("date").alias("lastRefresh"),
+        _end().cast("date").alias("incident_end_date"), F.col("loaded_at").cast("date").alias("lastRefresh"),
     )
 
 
-def canonical_incidents(spark: SparkSession, sf: str) -> DataFrame:
-    d = canonical_declarations(_declarations(spark, sf), order="ord")
+def canonical_incidents(spark: SparkSession, sf: str, undated: bool = False) -> DataFrame:
+    d = canonical_declarations(_declarations(spark, sf, undated), order="ord")
     day = lambda c: F.col(c).cast("date")
     return d.select("fips", "normalized_event_name", "event_family", day("incident_begin_date").alias("first_day"), day("incident_end_date").alias("last_day"), "id", "source_record_count", "declaration_count", "associated_disaster_numbers", "associated_declaration_types", "canonicalization_reason")
 
 
-def _storms(spark: SparkSession, sf: str) -> DataFrame:
-    s = _events(spark, sf).filter("__source = 'noaa' and event_start is not null")
+def _storms(spark: SparkSession, sf: str, undated: bool = False) -> DataFrame:
+    """Storm records; the month is the episode, a record without a start is one of its own."""
+    s = _records(spark, sf, "noaa", undated)
+    episode = F.coalesce(F.date_format("event_start", "yyyyMM"), F.concat(F.lit("undated-"), F.col("record_id").cast("string")))
     return s.select(
-        F.lit("noaa").alias("event_source"), F.col("__sid").alias("source_event_id"), F.col("__county").alias("fips"), "event_type", "event_name", "event_start", F.greatest("event_end", "event_start").alias("event_end"),
-        clean.finite("total_damage_amount").alias("total_damage_amount"), F.lit(1).cast("long").alias("source_record_count"), F.date_format("event_start", "yyyyMM").alias("episode_id"), F.col("record_id").alias("ord"),
+        F.lit("noaa").alias("event_source"), F.col("__sid").alias("source_event_id"), F.col("__county").alias("fips"), "event_type", "event_name", "event_start", _end().alias("event_end"),
+        clean.finite("total_damage_amount").alias("total_damage_amount"), F.lit(1).cast("long").alias("source_record_count"), episode.alias("episode_id"), F.col("record_id").alias("ord"),
     )
 
 
-def storm_episodes(spark: SparkSession, sf: str) -> DataFrame:
-    e = collapse_episodes(_standard(_storms(spark, sf), "noaa", "ord"))
+def storm_episodes(spark: SparkSession, sf: str, undated: bool = False) -> DataFrame:
+    e = collapse_episodes(_standard(_storms(spark, sf, undated), "noaa", "ord"))
     return e.select("fips", "episode_id", "source_event_id", r6("total_damage_amount").alias("damage"), "source_record_count", "associated_source_event_ids")
 
 
-def canonical_events(spark: SparkSession, sf: str) -> DataFrame:
+def canonical_events(spark: SparkSession, sf: str, undated: bool = False) -> DataFrame:
     """Incidents and storm episodes reconciled; damages of the storms count from the first dollar here."""
-    d = canonical_declarations(_declarations(spark, sf), order="ord")
+    d = canonical_declarations(_declarations(spark, sf, undated), order="ord")
     fema = d.select(
         F.lit("fema").alias("event_source"), F.col("disasterNumber").alias("source_event_id"), "fips", F.col("incidentType").alias("event_type"), F.col("declarationTitle").alias("event_name"),
         F.col("incident_begin_date").alias("event_start"), F.col("incident_end_date").alias("event_end"), F.lit(None).cast("double").alias("total_damage_amount"), "source_record_count",
         F.col("associated_disaster_numbers").alias("associated_source_event_ids"), F.col("id").cast("long").alias("ord"),
     )
-    out = reconcile(fema, _storms(spark, sf), order="ord")
+    out = reconcile(fema, _storms(spark, sf, undated), order="ord")
     return out.select("event_key", "fips", "event_sources", "associated_source_event_keys", "source_event_count", "source_record_count", "semantic_duplicate_count", "canonicalization_reason", "event_start_month", "event_end_month")
 
 
@@ -94,6 +109,8 @@ def feature_catalog(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (canonical_incidents, storm_episodes, canonical_events, disaster_event_filter, climate_month_features, housing_index, demographic_features, feature_catalog)}
+#: The whole job, with the records that have no start.
+QUERIES |= {f"{f.__name__}_undated": partial(f, undated=True) for f in (canonical_incidents, storm_episodes, canonical_events)}
 
 _ID = """i AS (SELECT *, CASE WHEN event_key IS NOT NULL THEN lower(trim(split_part(event_key, ':', 1))) ELSE event_source END AS src, CASE WHEN event_key IS NOT NULL THEN trim(split_part(event_key, ':', 2)) ELSE source_event_id END AS sid,
   CASE WHEN event_key IS NOT NULL THEN load_id || '-' || lpad(trim(split_part(event_key, ':', 3)), 5, '0') ELSE load_id || '-' || lpad(trim(fips), 5, '0') END AS county,
