@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +63,28 @@ def learn_precedence(cells: DataFrame, group: Sequence[str]) -> DataFrame:
     return sure.select("field_name", F.when(up, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("later"))
 
 
+def close_precedence(order: DataFrame) -> DataFrame:
+    """(field_name, earlier, later) closed over all steps; classes that follow each other in a circle have no order.
+
+    A field has at most as many rows as pairs of classes, so one task closes it.
+    """
+    def closed(pairs: pa.Table) -> pa.Table:
+        after: dict[int, set[int]] = {}
+        for a, b in zip(pairs["earlier"].to_pylist(), pairs["later"].to_pylist()):
+            after.setdefault(a, set()).add(b)
+        for mid in list(after):
+            for a in after:
+                if mid in after[a]:
+                    after[a] |= after[mid]
+        sure = [(a, b) for a in sorted(after) for b in sorted(after[a]) if a not in after.get(b, ())]
+        name = pairs["field_name"][0].as_py()
+        columns = list(zip(*[(name, a, b) for a, b in sure])) or [[], [], []]
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, pairs.schema)], schema=pairs.schema)
+
+    order = order.select("field_name", "earlier", "later")
+    return order.groupBy("field_name").applyInArrow(closed, order.schema)
+
+
 def surviving_values(
     df: DataFrame, group: Sequence[str], record_id: str, loaded_at: str, fields: Sequence[str],
     valid: Callable[[Column], Column] = valid_amount,
@@ -104,7 +127,7 @@ def surviving_values(
         .groupBy(*group, "field_name")
         .agg(F.collect_list(F.struct("cls", F.col("best.rid").alias("rid"), F.col("best.value").alias("value"))).alias("nodes"))
     )
-    order = learn_precedence(cells, group).groupBy("field_name").agg(F.collect_list(F.struct("earlier", "later")).alias("order"))
+    order = close_precedence(learn_precedence(cells, group)).groupBy("field_name").agg(F.collect_list(F.struct("earlier", "later")).alias("order"))
     latest = F.when(F.col("t_rid").isNotNull(), F.struct(value_class(F.col("t_value")).alias("cls"), F.col("t_rid").alias("rid"), F.col("t_value").alias("value")))
     joined = timed.join(untimed, [*group, "field_name"], "left").join(F.broadcast(order), "field_name", "left")
     own = F.filter(F.array_distinct(F.transform("__all", lambda x: x["cls"])), lambda c: c.isNotNull())

@@ -63,6 +63,17 @@ def test_untimed_values_by_learned_currency(spark):
     assert got[(1, "x")] == (2, "currency") and got[(3, "x")] == (3, "time") and got[(5, "x")] == (6, "currency") and got[(7, "x")] == (7, "time")
 
 
+def test_untimed_values_by_currency_over_several_steps(spark):
+    steps = [(1, 2), (2, 3), (11, 12), (12, 13), (13, 11)]  # the second three run in a circle
+    seen = [(1000 + 100 * k + 2 * i + j, f"t{k}-{i}", T(1 + j), float(v), "") for k, s in enumerate(steps) for i in range(20) for j, v in enumerate(s)]
+    got = survivors(spark, seen + [
+        (1, "a", None, 1.0, ""), (2, "a", None, 3.0, ""),    # 2 follows 1 by way of a value that is not in the group
+        (3, "b", T(5), 1.0, ""), (4, "b", None, 3.0, ""),
+        (5, "c", T(5), 11.0, ""), (6, "c", None, 12.0, ""), (7, "c", None, 25.0, ""),
+    ])
+    assert got[(1, "x")] == (2, "currency") and got[(3, "x")] == (4, "currency") and got[(5, "x")] == (5, "time")
+
+
 def test_survivors_of_empty_table(spark):
     assert survivors(spark, []) == {}
 
