@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from loomstead.functions import clean, text
 from loomstead.operators import playbook, quality, stats
@@ -171,6 +172,18 @@ def profile_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("column_name", "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max", "p01", "p25", "p50", "p75", "p99")], "outliers")
 
 
+def profile_missingness_all_columns(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "extreme_events_county")
+    return quality.missingness(e, e.columns).select("column_name", "rows", "nulls", r6("null_pct").alias("null_pct"))
+
+
+def profile_quantiles_all_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """All numeric columns, keys among them."""
+    rows = table(spark, sf, "lineitem")
+    d = quality.distribution(rows, [f.name for f in rows.schema if isinstance(f.dataType, NumericType)])
+    return d.select("column_name", "n", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max", "p01", "p25", "p50", "p75", "p99")], "outliers")
+
+
 def corr_pairs(spark: SparkSession, sf: str) -> DataFrame:
     c = quality.correlation_pairs(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], 100, 30)
     return c.select("column_a", "column_b", "pairs", r6("r").alias("r"))
@@ -238,7 +251,7 @@ QUERIES = {
     for f in (
         percent_rank_avg, equal_groups4, topk_topup, spearman_by_group, trend_stats, iqr_fence_trend, robust_caps, subgroup_share_above_median, factor_position, scorecard, sufficient_history,
         subgroup_ranges, weighted_midpoint, weighted_bucket, null_negative_clean, bounded_percent, sentinel_null, special_codes, label_normalise, event_family, place_name, damage_parse, rating_relabel,
-        year_routing, profile_missingness, profile_quantiles, corr_pairs, coverage_by_period, json_payload, bootstrap_ci, peer_picker, best_pair, volatility_check,
+        year_routing, profile_missingness, profile_missingness_all_columns, profile_quantiles, profile_quantiles_all_columns, corr_pairs, coverage_by_period, json_payload, bootstrap_ci, peer_picker, best_pair, volatility_check,
     )
 }
 
