@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstead.functions.eventkeys import fips5, with_identity
-from loomstead.operators.imputation import propagate_numbers
+from loomstead.operators.imputation import propagate_categories, propagate_numbers
 from loomstead.operators.intervals import continuous_periods, interval_gaps
 from loomstead.operators.profile import ColumnRule, profile_loads, unusual_loads
 from loomstead.plans.tables import table
@@ -16,6 +17,7 @@ from loomstead.sources.drift import number_text, schema_changes, series_table
 from loomstead.sources.rejects import INCOME_LINES, load_strict, reject_reasons
 
 FILL_COLUMNS = ("median_ppsf_usd", "homes_sold_yoy")
+CATEGORY_COLUMNS = ("county_name", "state_code")
 FILL_HUBS = (("load_id", "__county"), ("load_id", "__state", "housing_month"))
 PANEL_RULES = (
     ColumnRule("county_housing_monthly", "median_sale_price_usd", 1_000, 10_000_000),
@@ -24,11 +26,13 @@ PANEL_RULES = (
 )
 
 
-def _housing_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    housing = table(spark, sf_dir, "county_housing_monthly")
+def _housing(spark: SparkSession, sf_dir: str) -> DataFrame:
     county = fips5("fips")
-    housing = housing.withColumn("__county", county).withColumn("__state", F.substring(county, 1, 2))
-    return propagate_numbers(housing, "row_id", FILL_COLUMNS, FILL_HUBS)
+    return table(spark, sf_dir, "county_housing_monthly").withColumn("__county", county).withColumn("__state", F.substring(county, 1, 2))
+
+
+def _housing_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return propagate_numbers(_housing(spark, sf_dir), "row_id", FILL_COLUMNS, FILL_HUBS)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +44,17 @@ def p2_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _housing_fills(spark, sf_dir)
 
 
+def p2_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every missing cell of the categorical columns with its estimate, its share, the mark and the round it was reached in."""
+    housing = _housing(spark, sf_dir)
+    parts = []
+    for c in CATEGORY_COLUMNS:
+        missing = housing.filter(F.coalesce(F.trim(c), F.lit("")) == "").select("row_id")
+        fills = propagate_categories(housing, "row_id", c, FILL_HUBS, 3)
+        parts.append(missing.join(fills, "row_id", "left").select("row_id", F.lit(c).alias("column_name"), "value", "share", F.col("value").isNotNull().alias("filled"), "hops"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _county_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = with_identity(table(spark, sf_dir, "extreme_events_county"), ("__source", "__id", "__county", "__month"))
     return events.select("load_id", F.col("__county").alias("fips"), "event_start", "event_end")
@@ -114,7 +129,7 @@ def p7_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_filled, p3_found, p3_periods, p5_found, p5_profile, p6_found, p6_table, p7_found, p7_loaded)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_filled, p2_categories, p3_found, p3_periods, p5_found, p5_profile, p6_found, p6_table, p7_found, p7_loaded)}
 
 _IDENTITY = """
   SELECT *, CASE WHEN event_key IS NOT NULL THEN lpad(trim(split_part(event_key, ':', 3)), 5, '0') ELSE lpad(trim(fips), 5, '0') END AS county

@@ -101,6 +101,23 @@ def test_categories(spark):
     assert rows(propagate_categories(df, "row_id", "c", [["g"]]), "row_id", "value", "hops") == {(4, "x", 1)}
 
 
+def test_categories_of_housing_rows(spark, tmp_path):
+    from loomstead.plans.hygiene import p2_categories
+
+    data = [
+        (1, 1, "01001", "A", "AL", "2020-01-01"), (2, 1, " 1001", None, "AL", "2020-02-01"), (3, 1, "01001", "A", " ", "2020-01-01"),
+        (4, 1, "01003", None, None, "2020-01-01"),   # its county says nothing, its state and month do
+        (5, 2, "01001", None, "AL", "2020-01-01"),   # loads are not mixed
+        (6, 1, "01003", "", "AL", "2020-05-01"),     # reached by way of row 4
+    ]
+    spark.createDataFrame(data, "row_id long, load_id int, fips string, county_name string, state_code string, housing_month string").write.parquet(str(tmp_path / "county_housing_monthly.parquet"))
+    got = rows(p2_categories(spark, str(tmp_path)), "row_id", "column_name", "value", "filled", "hops")
+    assert got == {
+        (2, "county_name", "A", True, 1), (4, "county_name", "A", True, 1), (5, "county_name", None, False, None), (6, "county_name", "A", True, 2),
+        (3, "state_code", "AL", True, 1), (4, "state_code", "AL", True, 1),
+    }
+
+
 def brute_intervals(data):
     gaps, periods = set(), set()
     for k in {d[0] for d in data if d[0] is not None}:
