@@ -156,7 +156,34 @@ WITH v AS (
   FROM g GROUP BY 1, 2, 3
 )"""
 
+#: The spellings of each field, for the SQL alone; the operator finds them from names and values.
+_SPELLINGS = {
+    "year": ("year", "Year", "YEAR", "acs_year", "survey_year"),
+    "state": ("state", "STATE", "state_fips", "statefp"),
+    "county": ("county", "COUNTY", "county_fips", "countyfp"),
+    "dp02_0066_pct": ("dp02_0066_pct", "dp02_0066_percent", "dp02-0066-pct", "dp02_0066pe", "DP02_0066PE"),
+    "dp02_0067_pct": ("dp02_0067_pct", "dp02_0067_percent", "Dp02_0067_Pct", "DP02_0067PE"),
+    "dp02_0072_pct": ("dp02_0072_pct", "dp02_0072pe", "DP02_0072PE"),
+    "dp02_0092_pct": ("dp02_0092_pct", "dp02_0092_percent", "DP02_0092PE"),
+    "dp02_0066_moe": ("dp02_0066_moe", "dp02_0066_margin", "DP02_0066PM"),
+    "domestic_in_migration_rate": ("domestic_in_migration_rate", "domestic_inmigration_rate", "DOMESTIC_IN_MIGRATION_RATE"),
+    "source_note": ("source_note", "src_note", "SOURCE_NOTE"),
+}
+
+
+def _table_sql() -> str:
+    held = {c: "coalesce(" + ", ".join(f"json_extract_string(j, '$.\"{n}\"')" for n in names) + ")" for c, names in _SPELLINGS.items()}
+    number = lambda c: f"TRY_CAST(regexp_replace({c}, '^\\s+|\\s*%?\\s*$', '', 'g') AS DOUBLE)"
+    typed = {
+        "year": f"TRY_CAST(trim({held['year']}) AS INT)", "state": f"lpad(trim({held['state']}), 2, '0')", "county": f"lpad(trim({held['county']}), 3, '0')",
+        **{c: number(held[c]) for c in held if c.startswith("dp02") or c.endswith("rate")}, "source_note": held["source_note"],
+    }
+    columns = ", ".join(f"{x} AS {c}" for c, x in typed.items())
+    return f"WITH p AS (SELECT *, TRY_CAST(payload AS JSON) AS j FROM census_acs5_county_dp02_test) SELECT series_id, file_id, file_seq, row_no, {columns} FROM p"
+
+
 SQL = {
+    "p6_table": _table_sql(),
     "p2_found": """
 WITH b AS (
   SELECT row_id, load_id, lpad(trim(fips), 5, '0') AS county, housing_month, 'median_ppsf_usd' AS column_name, median_ppsf_usd AS v FROM county_housing_monthly

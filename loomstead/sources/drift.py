@@ -1,4 +1,4 @@
-"""Files whose schemas drift: trees of fields, minimum-cost edit scripts between them, and one consistent table."""
+"""Files whose schemas drift: their fields, the edit scripts between them, and one consistent table."""
 
 from __future__ import annotations
 
@@ -6,227 +6,152 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from functools import lru_cache, reduce
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstead.operators.skew import sharded_neighbour, skew_join
+from loomstead.session import cut_lineage
+from loomstead.sources.treeedit import STEP, edit_script, field_tree, letters, name_distance, spot
 
-#: Spellings of one quantity. A name is cut into words, each of which is replaced by its stem.
-STEMS = {
-    "percent": "pct", "pe": "pct", "pct": "pct", "percentage": "pct",
-    "pm": "moe", "moe": "moe", "margin": "moe", "moepct": "moe",
-    "src": "source", "source": "source",
-    "fp": "fips", "fips": "fips",
-    "inmigration": "in migration",
-}
-#: Words that say where a field comes from, not what it holds.
-PREFIXES = {"survey", "acs"}
-#: Fields whose plain name means the code.
-CODES = {"state", "county"}
-
-
-@lru_cache(maxsize=100_000)
-def quantity(name: str) -> str:
-    """The quantity a field name stands for, whatever its letter case, separators and customary abbreviations."""
-    text = name.strip().lower()
-    text = re.sub(r"(?<=\d)(?=(?:pe|pm|pct|percent|moe|margin)$)", "_", text)
-    text = re.sub(r"^(state|county)(fp|fips)$", r"\1_\2", text)
-    words = [w for part in re.split(r"[^a-z0-9]+", text) if part for w in STEMS.get(part, part).split()]
-    if len(words) > 1 and words[0] in PREFIXES and words[1] == "year":
-        words = words[1:]
-    if len(words) == 2 and words[0] in CODES and words[1] == "fips":
-        words = words[:1]
-    return "_".join(words)
+#: Counts a task holds before it hands them on.
+COUNTS_KEPT = 200_000
+#: How far the name of a field may be from another one to share its column where no script shows the link.
+ALIKE = 0.2
+CELLS = "array<struct<path:string,kind:string,spot:int,n:bigint>>"
 
 
 def _walk(value: object, path: str, out: Counter) -> None:
     if isinstance(value, dict):
-        out[(path, "object")] += 1
+        out[(path, "object", None)] += 1
         for k, v in value.items():
-            _walk(v, f"{path}\x1f{k}" if path else k, out)
+            _walk(v, f"{path}{STEP}{k}" if path else k, out)
     elif isinstance(value, list):
-        out[(path, "array")] += 1
+        out[(path, "array", None)] += 1
         for v in value:
             if isinstance(v, (dict, list)):
-                _walk(v, f"{path}\x1f[]", out)
+                _walk(v, f"{path}{STEP}[]", out)
+    elif value is None:
+        out[(path, "null", None)] += 1
     else:
-        kind = "null" if value is None else "bool" if isinstance(value, bool) else "text" if isinstance(value, str) else "number"
-        out[(path, kind)] += 1
+        kind = "bool" if isinstance(value, bool) else "text" if isinstance(value, str) else "number"
+        out[(path, kind, spot(value))] += 1
 
 
-def field_kinds(df: DataFrame, file_keys: Sequence[str], payload: str) -> DataFrame:
-    """(file keys, path, kind, n): how often each field of each file holds each kind of JSON value.
+def field_values(df: DataFrame, file_keys: Sequence[str], payload: str) -> DataFrame:
+    """(file keys, path, kind, spot, n): how often each field of each file holds each kind of JSON value, and about which one.
 
-    Payloads are reduced to counts within each batch, so what is shuffled is of the size of the schemas.
-    A payload that is null or no JSON object counts under an empty path: (\"\", \"unreadable\").
-    Keys of nested objects are joined by the unit separator, elements of arrays are [].
+    spot is the place in a field's histogram, null where there is no plain value. Payloads are reduced to
+    counts within each task, so what is shuffled is of the size of the schemas and histograms. A payload
+    that is null or no JSON object counts under an empty path: (\"\", \"unreadable\"). Keys of nested objects
+    are joined by the unit separator, elements of arrays are [].
     """
     source = df.select(*file_keys, F.col(payload).alias("__payload"))
-    key_fields = [source.schema[k] for k in file_keys]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields), "path string", "kind string", "n bigint"])
+    keys = [source.schema[k] for k in file_keys]
+    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), "path string, kind string, spot int, n bigint"])
+    names = [*file_keys, "path", "kind", "spot", "n"]
 
     def reduce_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        types: list[pa.DataType] = []
+
+        def packed() -> pa.RecordBatch:
+            columns = list(zip(*[(*k, n) for k, n in counts.items()]))
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
+
         for batch in batches:
-            counts: Counter = Counter()
-            keys = list(zip(*[batch.column(i).to_pylist() for i in range(len(file_keys))]))
-            for key, text in zip(keys, batch.column(len(file_keys)).to_pylist()):
+            types = [batch.schema.field(i).type for i in range(len(file_keys))] + [pa.string(), pa.string(), pa.int32(), pa.int64()]
+            for *key, text in zip(*[c.to_pylist() for c in batch.columns]):
                 own: Counter = Counter()
                 try:
                     parsed = json.loads(text) if text is not None else None
+                    if isinstance(parsed, dict):
+                        _walk(parsed, "", own)
                 except (ValueError, RecursionError):
                     parsed = None
                 if isinstance(parsed, dict):
-                    _walk(parsed, "", own)
-                    own.pop(("", "object"), None)
+                    own.pop(("", "object", None), None)
                 else:
-                    own[("", "unreadable")] += 1
-                for (path, kind), n in own.items():
-                    counts[(*key, path, kind)] += n
-            if counts:
-                columns = list(zip(*[(*k, n) for k, n in counts.items()]))
-                types = [batch.schema.field(i).type for i in range(len(file_keys))] + [pa.string(), pa.string(), pa.int64()]
-                names = [*file_keys, "path", "kind", "n"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
+                    own = Counter({("", "unreadable", None): 1})
+                for cell, n in own.items():
+                    counts[(*key, *cell)] += n
+            if len(counts) > COUNTS_KEPT:
+                yield packed()
+        if counts:
+            yield packed()
 
-    return source.mapInArrow(reduce_batches, schema).groupBy(*file_keys, "path", "kind").agg(F.sum("n").alias("n"))
+    return source.mapInArrow(reduce_batches, out).groupBy(*file_keys, "path", "kind", "spot").agg(F.sum("n").alias("n"))
 
 
 def file_schemas(df: DataFrame, file_keys: Sequence[str], payload: str) -> DataFrame:
-    """(file keys, fields): one row per file with its fields as array<struct<path, kinds map<string, bigint>>>."""
-    kinds = field_kinds(df, file_keys, payload).filter("path != ''")
-    per_field = kinds.groupBy(*file_keys, "path").agg(F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("kinds"))
-    fields = per_field.groupBy(*file_keys).agg(F.array_sort(F.collect_list(F.struct("path", F.to_json("kinds").alias("kinds")))).alias("fields"))
-    files = df.select(*file_keys).distinct()
-    same = [files[k].eqNullSafe(fields[k]) for k in file_keys]
-    return files.join(fields, reduce(lambda a, b: a & b, same), "left").select(
-        *[files[k] for k in file_keys], F.coalesce("fields", F.array().cast("array<struct<path:string,kinds:string>>")).alias("fields")
-    )
-
-
-class _Node:
-    __slots__ = ("name", "kids", "kinds")
-
-    def __init__(self, name: str) -> None:
-        self.name, self.kids, self.kinds = name, {}, {}
-
+    """(file keys, fields): one row per file, its fields as array<struct<path, kind, spot, n>> in order."""
+    found = field_values(df, file_keys, payload)
+    cells = F.filter(F.collect_list(F.struct("path", "kind", "spot", "n")), lambda c: c["path"] != "")
+    return found.groupBy(*file_keys).agg(F.array_sort(cells).cast(CELLS).alias("fields"))
 
-def _tree(fields: Sequence[tuple[str, str]]) -> _Node:
-    root = _Node("")
-    for path, kinds in fields:
-        node = root
-        for step in path.split("\x1f"):
-            node = node.kids.setdefault(step, _Node(step))
-        node.kinds = json.loads(kinds)
-    return root
-
-
-def _value_kind(kinds: dict) -> str | None:
-    """text or number if the non-null values are all of it, else another word; None without non-null values."""
-    seen = {k for k in kinds if k != "null"}
-    return None if not seen else seen.pop() if len(seen) == 1 else "mixed"
-
-
-def _size(node: _Node) -> int:
-    return 1 + sum(map(_size, node.kids.values()))
 
+def _steps(files: DataFrame, series: str, sequence: str, file_id: str) -> DataFrame:
+    """(series, sequence, file_id, prev_fields, fields): each file of a series with the one before it."""
+    files = files.filter(F.col(series).isNotNull() & F.col(sequence).isNotNull())
+    files = files.withColumn("__shard", F.floor(F.col(sequence) / 256).cast("long"))
+    near = sharded_neighbour(files, [series], "__shard", [sequence, file_id], ["fields"])
+    return near.filter(F.col("prev_fields").isNotNull()).select(series, sequence, file_id, "prev_fields", "fields")
 
-def _leaves(node: _Node, path: str) -> list[str]:
-    return [path] + [x for k in node.kids.values() for x in _leaves(k, f"{path}\x1f{k.name}")]
 
+def _cells(fields: list[dict]) -> list[tuple]:
+    return [(c["path"], c["kind"], c["spot"], c["n"]) for c in fields]
 
-def _relabel(a: _Node, b: _Node) -> float | None:
-    """Cost of taking b for a: 0 under the same name, small if the names mean the same quantity, else not allowed."""
-    if a.name == b.name:
-        return 0.0
-    if quantity(a.name) and quantity(a.name) == quantity(b.name):
-        return 0.5 if a.name.lower() != b.name.lower() else 0.25
-    return None
 
+def _apart(files: DataFrame, steps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, apart): the pairs of names of each step that could be one field, but stand side by side in some file.
 
-def edit_script(old: _Node, new: _Node, path: str = "") -> tuple[float, list[tuple[str, str, str | None]]]:
-    """Minimum-cost script (kind, new path, old path) that turns the children of old into those of new.
+    Only pairs that a step would gain from are looked up, in the different sets of fields that files have.
+    """
+    out = ", ".join([*(f"`{k}` {steps.schema[k].dataType.simpleString()}" for k in keys), "a string, b string"])
 
-    Children are matched by the least relabelling cost plus the cost of their own subtrees; deleting or
-    adding a subtree costs its size, so a match of the same quantity always beats delete and add. As the
-    only allowed matches are within one quantity, the assignment falls apart by quantity, and within it
-    the cheapest pairs are taken first, in the order of names at equal cost.
+    def likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for *key, before, after in zip(*[c.to_pylist() for c in batch.columns]):
+                pairs: set[tuple[str, str]] = set()
+                edit_script(field_tree(_cells(before)), field_tree(_cells(after)), likely=pairs)
+                rows += [(*key, a, b) for a, b in sorted(pairs) if letters(a) != letters(b)]
+            columns = list(zip(*rows)) or [[]] * (len(keys) + 2)
+            types = [batch.schema.field(i).type for i in range(len(keys))] + [pa.string()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=[*keys, "a", "b"])
+
+    asked = steps.mapInArrow(likely, out)
+    sets = files.select(F.array_distinct(F.transform("fields", lambda c: c["path"])).alias("paths")).distinct()
+    held = sets.select(F.xxhash64("paths").alias("set"), F.explode("paths").alias("path"))
+    pairs = asked.select("a", "b").distinct()
+    both = pairs.join(held.withColumnRenamed("path", "a"), "a").join(held.withColumnRenamed("path", "b"), ["set", "b"]).select("a", "b").distinct()
+    return asked.join(both, ["a", "b"]).groupBy(*keys).agg(F.collect_list(F.struct("a", "b")).alias("apart"))
+
+
+def edit_scripts(files: DataFrame, series: str, sequence: str, file_id: str) -> DataFrame:
+    """(series, sequence, file_id, path, change_kind, old_path): the script of each file against the one before it in its series.
+
+    Two names that stand side by side in any file of any series are two fields, however alike they are.
     """
-    cost, script = 0.0, []
-    pairs = []
-    for a in old.kids.values():
-        for b in new.kids.values():
-            base = _relabel(a, b)
-            if base is not None:
-                below, steps = edit_script(a, b, f"{path}\x1f{b.name}" if path else b.name)
-                pairs.append((base + below, a.name, b.name, base, steps))
-    used_a, used_b = set(), set()
-    for total, an, bn, base, steps in sorted(pairs, key=lambda p: (p[3] != 0, p[0], p[1], p[2])):
-        if an in used_a or bn in used_b:
-            continue
-        used_a.add(an), used_b.add(bn)
-        cost += total
-        at = f"{path}\x1f{bn}" if path else bn
-        if base:
-            script.append(("renamed", at, f"{path}\x1f{an}" if path else an))
-        ka, kb = _value_kind(old.kids[an].kinds), _value_kind(new.kids[bn].kinds)
-        if {ka, kb} == {"text", "number"}:
-            script.append(("retyped", at, f"{path}\x1f{an}" if path else an))
-        script += steps
-    for a in old.kids.values():
-        if a.name not in used_a:
-            cost += _size(a)
-            script += [("removed", p, p) for p in _leaves(a, f"{path}\x1f{a.name}" if path else a.name)]
-    for b in new.kids.values():
-        if b.name not in used_b:
-            cost += _size(b)
-            script += [("added", p, None) for p in _leaves(b, f"{path}\x1f{b.name}" if path else b.name)]
-    return cost, script
-
-
-def _moves(script: list[tuple[str, str, str | None]]) -> list[tuple[str, str, str | None]]:
-    """A field removed in one place and added in another, both once and under the same quantity, is moved."""
-    last = lambda p: quantity(p.rsplit("\x1f", 1)[-1])
-    gone, came = Counter(), Counter()
-    for kind, p, _ in script:
-        (gone if kind == "removed" else came if kind == "added" else Counter())[last(p)] += 1
-    moved = {q for q in gone if gone[q] == 1 and came[q] == 1 and q}
-    where = {last(p): p for kind, p, _ in script if kind == "removed"}
-    out = []
-    for kind, p, o in script:
-        if kind == "removed" and last(p) in moved:
-            continue
-        out.append(("moved", p, where[last(p)]) if kind == "added" and last(p) in moved else (kind, p, o))
-    return out
-
-
-@lru_cache(maxsize=50_000)
-def _changes(old: tuple, new: tuple) -> list[tuple[str, str, str | None]]:
-    return _moves(edit_script(_tree(old), _tree(new))[1])
-
-
-def _scripts(df: DataFrame, series: str, sequence: str, file_id: str, payload: str) -> DataFrame:
-    """(series, sequence, file_id, path, change_kind, old_path): the script of each file against the one before it in its series."""
     keys = [series, sequence, file_id]
-    files = file_schemas(df.filter(F.col(series).isNotNull() & F.col(sequence).isNotNull()), keys, payload)
-    files = files.withColumn("__shard", F.floor(F.col(sequence) / 256).cast("long"))
-    pairs = sharded_neighbour(files, [series], "__shard", [sequence, file_id], ["fields", file_id])
-    pairs = pairs.filter(F.col("prev_fields").isNotNull()).select(*keys, "prev_fields", "fields")
-    out = ", ".join([*(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys), "path string, change_kind string, old_path string"])
+    steps = cut_lineage(_steps(files, *keys))
+    steps = steps.join(_apart(files, steps, keys), keys, "left").select(*keys, "prev_fields", "fields", "apart")
+    out = ", ".join([*(f"`{k}` {steps.schema[k].dataType.simpleString()}" for k in keys), "path string, change_kind string, old_path string"])
 
     def diff(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for *key, a, b in zip(*[batch.column(i).to_pylist() for i in range(5)]):
-                for kind, at, was in _changes(tuple((x["path"], x["kinds"]) for x in a), tuple((x["path"], x["kinds"]) for x in b)):
-                    rows.append((*key, at, kind, was))
+            for *key, before, after, apart in zip(*[c.to_pylist() for c in batch.columns]):
+                script = edit_script(field_tree(_cells(before)), field_tree(_cells(after)), frozenset((p["a"], p["b"]) for p in apart or ()))[1]
+                rows += [(*key, at, kind, was) for kind, at, was in script]
             columns = list(zip(*rows)) or [[]] * 6
             types = [batch.schema.field(i).type for i in range(3)] + [pa.string()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=[*keys, "path", "change_kind", "old_path"])
 
-    return pairs.mapInArrow(diff, out)
+    return steps.mapInArrow(diff, out)
 
 
 def schema_changes(df: DataFrame, series: str, sequence: str, file_id: str, payload: str) -> DataFrame:
@@ -237,15 +162,95 @@ def schema_changes(df: DataFrame, series: str, sequence: str, file_id: str, payl
     or sequence belongs to no series: such files are not compared.
     """
     dotted = lambda c: F.translate(c, "\x1f", ".")
-    return _scripts(df, series, sequence, file_id, payload).select(
+    files = cut_lineage(file_schemas(df, [series, sequence, file_id], payload))
+    return edit_scripts(files, series, sequence, file_id).select(
         F.col(file_id).cast("long").alias("file_id"), dotted("path").alias("field_name"), "change_kind", dotted("old_path").alias("old_name")
     ).distinct()
 
 
-@lru_cache(maxsize=100_000)
-def column_name(path: str) -> str:
-    """The column of a path if no later file moves it: the quantities of its steps, joined by dots."""
-    return ".".join(quantity(s) or s.lower() for s in path.split("\x1f"))
+def unify_names(
+    files_with: dict[str, int], renamed: Sequence[tuple[str, str, int]], apart: frozenset[tuple[str, str]] = frozenset(), prefer: Sequence[str] = ()
+) -> dict[str, str]:
+    """The path that stands for each path: names that the scripts of any series rename into each other are one field.
+
+    Links are taken by falling number of steps that show them, then those between names of the same
+    letters; a link that would bring two names of apart together is left out. A name that no script
+    links joins the nearest one of its first letter and numbers within ALIKE, if one group alone is nearest.
+    A preferred name stands for its group, else the one in most files, of these the lower-case, the
+    longest, the least.
+    """
+    group = {p: {p} for p in files_with}
+    cut = {*apart, *((b, a) for a, b in apart)}
+
+    def free(a: str, b: str) -> bool:
+        return a in group and b in group and group[a] is not group[b] and not any((i, j) in cut for i in group[a] for j in group[b])
+
+    def link(a: str, b: str) -> None:
+        if free(a, b):
+            group[a] |= group[b]
+            for p in group[b]:
+                group[p] = group[a]
+
+    for a, b, _ in sorted(renamed, key=lambda e: (-e[2], e[0], e[1])):
+        link(a, b)
+    shown = {p for a, b, _ in renamed for p in (a, b)}
+    same, near = {}, {}
+    for p in sorted(files_with):
+        *above, own = map(letters, p.split(STEP))
+        same.setdefault((*above, own), []).append(p)
+        near.setdefault((*above, own[:1], *re.findall(r"\d+", own)), []).append(p)
+    for ps in same.values():
+        for p in ps[1:]:
+            link(ps[0], p)
+    last = lambda p: p.rsplit(STEP, 1)[-1]
+    close = sorted((d, p, q) for ps in near.values() for p in ps if p not in shown for q in ps if p != q and (d := name_distance(last(p), last(q))) <= ALIKE)
+    for d, p, q in close:
+        if free(p, q) and all(group[r] is group[q] for e, o, r in close if o == p and e == d and free(p, r)):
+            link(q, p)
+    liked = {p: i for i, p in enumerate(prefer)}
+    rank = lambda p: (liked.get(p, len(liked)), -files_with[p], p != p.lower(), -len(p), p)
+    stands = {p: min(g, key=rank) for p, g in group.items()}
+
+    def whole(path: str) -> str:
+        at = ""
+        for step in path.split(STEP):
+            at = f"{at}{STEP}{step}" if at else step
+            at = stands.get(at, at)
+        return at
+
+    return {p: whole(p) for p in files_with}
+
+
+def column_names(files: DataFrame, scripts: DataFrame, prefer: Sequence[str] = ()) -> dict[str, str]:
+    """The column of each path met in any file, nested ones with dots; what is gathered is of the size of the schemas."""
+    sets = files.select(F.array_distinct(F.transform("fields", lambda c: c["path"])).alias("paths"))
+    files_with = {r["path"]: r["n"] for r in sets.select(F.explode("paths").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n")).collect()}
+    links = scripts.filter("change_kind = 'renamed'").groupBy("path", "old_path").agg(F.count(F.lit(1)).alias("n"))
+    renamed = [(r["old_path"], r["path"], r["n"]) for r in links.collect()]
+    prefer = [p.replace(".", STEP) for p in prefer]
+    files_with = {**dict.fromkeys(prefer, 0), **files_with}
+    sets = cut_lineage(sets.distinct().select(F.xxhash64("paths").alias("set"), F.explode("paths").alias("path")))
+    apart: frozenset[tuple[str, str]] = frozenset()
+    while True:
+        stands = unify_names(files_with, renamed, apart, prefer)
+        members = Counter(stands.values())
+        shared = [(p, s) for p, s in stands.items() if members[s] > 1]
+        if not shared:
+            break
+        # two names of one group in one file are two fields after all; each turn tells at least one pair apart for good
+        held = sets.join(files.sparkSession.createDataFrame(shared, "path string, stands string"), "path")
+        other = held.select("set", "stands", F.col("path").alias("other"))
+        clash = {(r["path"], r["other"]) for r in held.join(other, ["set", "stands"]).filter("path < other").select("path", "other").distinct().collect()}
+        if clash <= apart:
+            break
+        apart |= clash
+    columns: dict[str, str] = {}
+    for path in sorted(set(stands.values()), key=lambda p: (p not in prefer, p)):
+        name = ".".join(re.sub(r"[^\w\[\]]+", "_", x.strip().lower()) for x in path.split(STEP))
+        while name in columns.values():
+            name += "_2"
+        columns[path] = name
+    return {p: columns[s] for p, s in stands.items()}
 
 
 def _stored(path: str, kind: str) -> str | None:
@@ -278,10 +283,10 @@ def _values(value: dict, path: str = "") -> Iterator[tuple[str, str]]:
             yield at, (str(v) if isinstance(v, str) else _json(v)).encode("utf-8", "replace").decode()
 
 
-def _compose(scripts: DataFrame, series: str, sequence: str, file_id: str) -> DataFrame:
+def _compose(scripts: DataFrame, names: dict[str, str], series: str, sequence: str, file_id: str) -> DataFrame:
     """(series, own, moves): the column that files before each move of a field put it in, with all later moves applied.
 
-    Renaming keeps the quantity, so only moves change a column. One backward pass a series over its moves.
+    Renaming keeps the column, so only moves change it. One backward pass a series over its moves.
     """
     moved = scripts.filter("change_kind = 'moved'").select(series, sequence, file_id, "path", "old_path")
     kinds = {k: moved.schema[k].dataType.simpleString() for k in (series, sequence, file_id)}
@@ -291,7 +296,7 @@ def _compose(scripts: DataFrame, series: str, sequence: str, file_id: str) -> Da
         by_file: dict = {}
         for s, n, f, new, old in zip(*[c.to_pylist() for c in moves.columns]):
             if _stored(new, "") == new and _stored(old, "") == old:
-                by_file.setdefault((n, f), []).append((s, column_name(old), column_name(new)))
+                by_file.setdefault((n, f), []).append((s, names[old], names[new]))
         final: dict[str, str] = {}
         rows = []
         for n, f in sorted(by_file, reverse=True):
@@ -305,23 +310,23 @@ def _compose(scripts: DataFrame, series: str, sequence: str, file_id: str) -> Da
     return steps.groupBy(series, "own").agg(F.array_sort(F.collect_list(F.struct(F.struct(sequence, file_id).alias("at"), "target"))).alias("moves"))
 
 
-def column_maps(df: DataFrame, series: str, sequence: str, file_id: str, payload: str) -> DataFrame:
+def column_maps(files: DataFrame, scripts: DataFrame, names: dict[str, str], series: str, sequence: str, file_id: str) -> DataFrame:
     """(series, sequence, file_id, own, target): the column of each field of each file, by all scripts after it in its series.
 
     own is the column by the field's name alone. If a file holds another field in the column that a move
-    leads to, the moved field stays in its own, so no two fields of a file are merged but spellings of one quantity.
+    leads to, the moved field stays in its own, so no two fields of a file are ever merged.
     """
     keys = [series, sequence, file_id]
-    fields = field_kinds(df, keys, payload).filter("path != ''").select(*keys, "path", "kind")
+    fields = files.select(*keys, F.explode("fields").alias("c")).select(*keys, "c.path", "c.kind").distinct()
     out = ", ".join([*(f"`{k}` {fields.schema[k].dataType.simpleString()}" for k in keys), "own string"])
 
     def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(p := _stored(path, kind)) and column_name(p) for path, kind in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            own = [(p := _stored(path, kind)) and names[p] for path, kind in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(own, type=pa.string())], names=[*keys, "own"])
 
     fields = fields.mapInArrow(named, out).filter("own is not null").distinct()
-    moves = _compose(_scripts(df, *keys, payload), *keys)
+    moves = _compose(scripts, names, *keys)
     here = F.struct(F.col(sequence), F.col(file_id))
     later = F.get(F.filter("moves", lambda m: m["at"] > here), F.lit(0))["target"]
     fields = fields.join(moves, [series, "own"], "left").withColumn("target", F.coalesce(later, "own"))
@@ -337,16 +342,20 @@ def series_table(
     df: DataFrame, keys: Sequence[str], series: str, sequence: str, file_id: str, payload: str,
     wanted: dict[str, Callable[[Column], Column]], other: Callable[[str], Callable[[Column], Column]],
 ) -> DataFrame:
-    """One consistent table of all files: their scripts, composed along each series, say into which column each field goes.
+    """One consistent table of all files: the scripts of all series are compiled into a projection that every file goes through.
 
-    A field is in the column of the last place and quantity that its series gives it, nested ones with
-    dots; an array is one column of JSON text. Columns of wanted are always there and come first, typed
-    as said; all others that any file has follow by name, typed by other. Of two spellings of one
-    quantity in a row the first that is not null counts. Unreadable payloads give nulls. A column named
+    Names that scripts rename into each other share a column over all series; moves are composed along
+    each series, so a field is in the column of its last place, nested ones with dots; an array is one
+    column of JSON text. Columns of wanted are always there and come first, typed as said; all others that
+    any file has follow by name, typed by other. Of one field twice in a row the first value that is not
+    null counts; two fields of a file never share a column. Unreadable payloads give nulls. A column named
     as one of keys gets the prefix payload_.
     """
     at = [series, sequence, file_id]
-    maps = column_maps(df, *at, payload)
+    files = cut_lineage(file_schemas(df, at, payload))
+    scripts = cut_lineage(edit_scripts(files, *at))
+    names = column_names(files, scripts, list(wanted))
+    maps = cut_lineage(column_maps(files, scripts, names, *at))
     # the columns of all files: schema-sized, whatever the rows
     columns = sorted({*wanted, *(r["target"] for r in maps.select("target").distinct().collect())})
     moved = maps.filter("own != target").groupBy(*at).agg(F.map_from_entries(F.collect_list(F.struct("own", "target"))).alias("__moved"))
@@ -357,6 +366,14 @@ def series_table(
     out = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), *(f"c{i} string" for i in place.values())])
 
     def project(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled: dict[tuple, dict[str, int]] = {}
+
+        def projection(moves: tuple) -> dict[str, int]:
+            if moves not in compiled:
+                to = dict(moves)
+                compiled[moves] = {path: place[c] for path, own in names.items() if (c := to.get(own, own)) in place}
+            return compiled[moves]
+
         for batch in batches:
             data = [[None] * batch.num_rows for _ in columns]
             for i, (moves, text) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist())):
@@ -365,10 +382,9 @@ def series_table(
                     found = sorted(_values(parsed)) if isinstance(parsed, dict) else []
                 except (ValueError, RecursionError):
                     continue
-                moves = dict(moves or ())
+                to = projection(tuple(moves or ()))
                 for path, value in found:
-                    own = column_name(path)
-                    cells = data[place[moves.get(own, own)]]
+                    cells = data[to[path]]
                     if cells[i] is None:
                         cells[i] = value
             yield pa.RecordBatch.from_arrays(
@@ -380,25 +396,6 @@ def series_table(
     return rows.mapInArrow(project, out).select(*keys, *[f(F.col(f"c{place[c]}")).alias(f"payload_{c}" if c in taken else c) for c, f in typed.items()])
 
 
-def unified_table(
-    df: DataFrame, keys: Sequence[str], payload: str, wanted: dict[str, Callable[[Column], Column]], spellings: Sequence[str]
-) -> DataFrame:
-    """One consistent table: for each quantity of wanted, the first of its spellings that a payload has, as typed by wanted.
-
-    spellings are the field names met in any file (as many as the schemas have, not the rows); the script
-    of each file comes down to which spelling of a quantity it uses, so one projection serves every file.
-    Unreadable payloads give nulls. Columns of df with a wanted name give way.
-    """
-    data = F.from_json(F.col(payload), "map<string,string>", {"mode": "PERMISSIVE"})
-    base = df.select(*[F.col(k) for k in keys], data.alias("__data"))
-    out = []
-    for name, typed in wanted.items():
-        own = sorted(s for s in spellings if quantity(s) == quantity(name))
-        value = F.coalesce(*[F.try_element_at("__data", F.lit(s)) for s in own], F.lit(None).cast("string"))
-        out.append(typed(value).alias(name))
-    return base.select(*[F.col(k) for k in keys if k not in wanted], *out)
-
-
 def number_text(c: Column) -> Column:
     """Double of a text that may carry blanks and a percent sign; null if no plain number remains."""
     return F.regexp_replace(c, r"^\s+|\s*%?\s*$", "").try_cast("double")

@@ -1,6 +1,7 @@
 """Filling, intervals, profiles, drift and rejects against brute force and on awkward input."""
 
 import datetime as dt
+import itertools
 import json
 import random
 
@@ -12,7 +13,7 @@ from loomstead.operators.imputation import propagate_categories, propagate_numbe
 from loomstead.operators.intervals import continuous_periods, interval_gaps
 from loomstead.operators.profile import ColumnRule, profile_loads, unusual_loads
 from loomstead.operators.skew import sharded_neighbour, skew_join
-from loomstead.sources import drift
+from loomstead.sources import drift, treeedit
 from loomstead.sources.rejects import INCOME_LINES, load_strict, reject_reasons
 
 
@@ -197,19 +198,46 @@ def test_schema_changes(spark):
     assert (4, "DP02_0066PE", "removed") in got
 
 
-def test_quantities():
-    q = drift.quantity
-    assert q("dp02_0066_pct") == q("DP02_0066PE") == q("dp02-0066-pct") == q("dp02_0066_percent") == q("Dp02_0066_Pct")
-    assert q("dp02_0066_moe") == q("DP02_0066PM") == q("dp02_0066_margin") != q("dp02_0066_pct")
-    assert q("year") == q("survey_year") == q("acs_year") == q("YEAR") and q("state") == q("statefp") == q("state_fips") and q("county") == q("countyfp")
-    assert q("domestic_inmigration_rate") == q("DOMESTIC_IN_MIGRATION_RATE") and q("src_note") == q("source_note")
-    assert q("dp02_0067_pct") != q("dp02_0066_pct")
+def leaves(**fields):
+    return treeedit.field_tree((k, "number" if isinstance(v[0], (int, float)) else "text", treeedit.spot(x), 1) for k, v in fields.items() for x in v)
+
+
+def test_scripts_are_of_least_cost():
+    old = leaves(dp02_0066_pct=["21.6%", "33.0", "52"], dp02_0066_moe=[7.0, 55.2, 12.5], area_1=[3, 4], gone=["x", "y"])
+    new = leaves(DP02_0066PM=[7.1, 54, 12], dp02_0066_share=[21, 33.4, 52.8], area_2=[3, 4], came=[1_000_000, 5])
+    cost, script = treeedit.edit_script(old, new)
+    assert {s for s in script if s[0] == "renamed"} == {("renamed", "DP02_0066PM", "dp02_0066_moe"), ("renamed", "dp02_0066_share", "dp02_0066_pct")}
+    assert ("retyped", "dp02_0066_share", "dp02_0066_pct") in script and ("removed", "area_1", "area_1") in script and ("added", "came", None) in script
+    least = min(  # brute force over all ways to match the four fields
+        sum(treeedit.HALF if j is None else treeedit._relabel(a, b) for a, j in zip(old.kids.values(), pick) for b in [j and new.kids[j]])
+        + treeedit.HALF * (len(new.kids) - sum(j is not None for j in pick))
+        for pick in itertools.product([None, *new.kids], repeat=4) if len([j for j in pick if j]) == len({j for j in pick if j})
+    )
+    assert abs(cost - least) < 1e-9
+
+
+def test_names_side_by_side_are_two_fields(spark):
+    files = [(1, 1, [{"rate": 5, "year": 2013}]), (2, 2, [{"rate_b": 5, "year": 2013}]), (3, 3, [{"rate": 7, "rate_b": 5, "year": 2014}])]
+    changes = lambda fs: rows(drift.schema_changes(series(spark, fs), "series_id", "file_seq", "file_id", "payload"), "file_id", "field_name", "change_kind")
+    assert changes(files[:2]) == {(2, "rate_b", "renamed")}
+    assert changes(files) == {(2, "rate_b", "added"), (2, "rate", "removed"), (3, "rate", "added")}
+
+
+def test_assignment_is_of_least_cost():
+    rng = random.Random(5)
+    for n, m in ((1, 1), (3, 3), (3, 5), (5, 6)):
+        cost = [[rng.randint(0, 9) for _ in range(m)] for _ in range(n)]
+        got = treeedit.assign(cost)
+        assert len(set(got)) == n
+        assert sum(cost[i][j] for i, j in enumerate(got)) == min(sum(cost[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
 
 
 def test_unified_table(spark):
     df = series(spark, [(1, 1, [{"YEAR": 2013, "dp02_0066pe": " 21.6%"}, None, "no json"]), (2, 2, [{"acs_year": "2014", "dp02_0066_pct": 20}])])
-    out = drift.unified_table(df, ["file_id", "row_no"], "payload", {"year": lambda c: c.try_cast("int"), "dp02_0066_pct": drift.number_text}, ["YEAR", "acs_year", "dp02_0066pe", "dp02_0066_pct"])
-    assert rows(out, "file_id", "row_no", "year", "dp02_0066_pct") == {(1, 0, 2013, 21.6), (1, 1, None, None), (1, 2, None, None), (2, 0, 2014, 20.0)}
+    wanted = {"year": lambda c: c.try_cast("int"), "dp02_0066_pct": drift.number_text}
+    out = drift.series_table(df, ["file_id", "row_no"], "series_id", "file_seq", "file_id", "payload", wanted, lambda c: lambda v: v)
+    assert out.columns == ["file_id", "row_no", "year", "dp02_0066_pct"]
+    assert rows(out, *out.columns) == {(1, 0, 2013, 21.6), (1, 1, None, None), (1, 2, None, None), (2, 0, 2014, 20.0)}
 
 
 def test_table_of_all_files_follows_the_scripts(spark, tmp_path):
