@@ -17,6 +17,8 @@ from loomstead.sources.drift import number_text, schema_changes, series_table
 from loomstead.sources.rejects import INCOME_LINES, load_strict, reject_reasons
 
 FILL_COLUMNS = ("median_ppsf_usd", "homes_sold_yoy")
+#: Standardised difference of means from which on a load counts as shifted.
+SHIFT = 0.5
 CATEGORY_COLUMNS = ("county_name", "state_code")
 FILL_HUBS = (("load_id", "__county"), ("load_id", "__state", "housing_month"))
 PANEL_RULES = (
@@ -74,13 +76,22 @@ def p3_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.select("load_id", "fips", _stamp("period_start").alias("period_start"), _stamp("period_end").alias("period_end"))
 
 
-def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _panel_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {r.table: table(spark, sf_dir, r.table) for r in PANEL_RULES}
     return profile_loads(tables, PANEL_RULES)
 
 
+def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile of each load, the exact power sums as text, what is divided or drawn from them to six decimals."""
+    profile = _panel_profile(spark, sf_dir)
+    derived = ("mean", "stddev", "skewness", "standardised_difference")
+    sums = [c for c, t in profile.dtypes if t == "decimal(38,0)"]
+    return profile.select(*[F.col(c).cast("string").alias(c) if c in sums else F.round(c, 6).alias(c) if c in derived else F.col(c) for c in profile.columns])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unusual_loads(p5_profile(spark, sf_dir)).select("table_name", "column_name", "load_id")
+    """Loads that stand out by any flag; those that do by a shift of the mean alone are no cases by definition and are dropped last."""
+    return unusual_loads(_panel_profile(spark, sf_dir), shift_above=SHIFT).filter("why != 'shift'").select("table_name", "column_name", "load_id")
 
 
 def _drifting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,6 +219,27 @@ WITH i AS ({_IDENTITY}), r AS (
 ), m AS (SELECT *, max(e) OVER (PARTITION BY load_id, fips ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
 k AS (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY load_id, fips ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m)
 SELECT load_id, fips, strftime(min(s), '%Y-%m-%d %H:%M:%S') AS period_start, strftime(max(e), '%Y-%m-%d %H:%M:%S') AS period_end FROM k GROUP BY load_id, fips, g""",
+    "p5_profile": f"""{_PANEL}, y AS (
+  SELECT *, CASE table_name WHEN 'county_housing_monthly' THEN 2 WHEN 'county_economic_annual' THEN 3 ELSE 6 END AS digits FROM g
+), w AS (SELECT *, CAST(round(good * power(10.0, digits)) AS HUGEINT) AS y FROM y),
+sums AS (
+  SELECT table_name, column_name, load_id, digits, min(good) AS lo, max(good) AS hi, count(y) AS n, coalesce(sum(y), 0) AS s1, coalesce(sum(y * y), 0) AS s2, coalesce(sum(y * y * y), 0) AS s3,
+    coalesce(sum((y * y // 1073741824) * (y * y // 1073741824)), 0) AS s4_high, coalesce(sum((y * y // 1073741824) * (y * y % 1073741824)), 0) AS s4_mid, coalesce(sum((y * y % 1073741824) * (y * y % 1073741824)), 0) AS s4_low
+  FROM w GROUP BY 1, 2, 3, 4
+), rest AS (
+  SELECT *, sum(n) OVER c - n AS rn, sum(s1) OVER c - s1 AS r1, sum(s2) OVER c - s2 AS r2, power(10.0, -digits) AS unit FROM sums WINDOW c AS (PARTITION BY table_name, column_name)
+), drawn AS (
+  SELECT *, CAST(s1 AS DOUBLE) / nullif(n, 0) AS m, CAST(n * s2 - s1 * s1 AS DOUBLE) / nullif(CAST(n AS DOUBLE) * n, 0) AS v,
+    CAST(r1 AS DOUBLE) / nullif(rn, 0) AS rm, CAST(rn * r2 - r1 * r1 AS DOUBLE) / nullif(CAST(rn AS DOUBLE) * rn, 0) AS rv,
+    CAST(n * n * s3 - 3 * n * s1 * s2 + 2 * s1 * s1 * s1 AS DOUBLE) / nullif(CAST(n AS DOUBLE) * n * n, 0) AS t
+  FROM rest
+)
+SELECT table_name, column_name, load_id, p.n_rows AS rows, p.missing, p.bad, p.n_good AS good, p.distinct_values, lo AS min, hi AS max,
+  CAST(s1 AS VARCHAR) AS s1, CAST(s2 AS VARCHAR) AS s2, CAST(s3 AS VARCHAR) AS s3, CAST(s4_high AS VARCHAR) AS s4_high, CAST(s4_mid AS VARCHAR) AS s4_mid, CAST(s4_low AS VARCHAR) AS s4_low,
+  p.med AS median, digits, p.missing / p.n_rows AS missing_share, coalesce(p.bad / nullif(p.n_rows - p.missing, 0), 0) AS bad_share, p.distinct_values / nullif(p.n_rows - p.missing, 0) AS distinct_ratio,
+  round(m * unit, 6) AS mean, round(sqrt(v) * unit, 6) AS stddev, round(CASE WHEN v > 0 THEN t / power(v, 1.5) END, 6) AS skewness,
+  round(CASE WHEN (rm IS NULL AND m IS NOT NULL) OR m = rm THEN 0 ELSE (m - rm) / nullif(sqrt((v + rv) / 2), 0) END, 6) AS standardised_difference
+FROM p JOIN drawn USING (table_name, column_name, load_id)""",
     "p5_found": f"""{_PANEL}, q AS (
   SELECT *, missing / n_rows AS ms, coalesce(bad / nullif(n_rows - missing, 0), 0) AS bs, distinct_values / nullif(n_rows - missing, 0) AS dr FROM p
 ), t AS (SELECT table_name, column_name, median(ms) AS tms, median(med) AS tmed, median(dr) AS tdr FROM q GROUP BY 1, 2)

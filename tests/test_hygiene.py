@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomstead.functions.eventkeys import fips5, source_keys, with_identity, with_key_parts
 from loomstead.operators.imputation import propagate_categories, propagate_numbers
 from loomstead.operators.intervals import continuous_periods, interval_gaps
-from loomstead.operators.profile import ColumnRule, profile_loads, unusual_loads
+from loomstead.operators.profile import LARGEST, ColumnRule, merge_sums, power_sums, profile_loads, range_quantiles, unusual_loads
 from loomstead.operators.skew import sharded_neighbour, skew_join
 from loomstead.sources import drift, treeedit
 from loomstead.sources.rejects import INCOME_LINES, load_strict, reject_reasons
@@ -174,6 +174,55 @@ def test_profile_finds_the_odd_loads(spark):
     assert one[4]["median"] == 90_029.5 and one[4]["distinct_values"] == 60 and one[9]["good"] == 0
 
 
+def test_a_null_load_is_a_load_of_its_own(spark):
+    data = [(load, float(v)) for load in (1, 2, None) for v in range(100, 160)]
+    p = profile_loads({"t": spark.createDataFrame(data, "load_id int, x double")}, [ColumnRule("t", "x", 0, 1_000)])
+    assert [r["median"] for r in p.collect()] == [129.5] * 3
+    assert unusual_loads(p, shift_above=0.1).count() == 0
+
+
+def test_shifted_means_are_flagged(spark):
+    data = [(load, float(v + (40 if load == 3 else 0))) for load in (1, 2, 3, 4) for v in range(500, 560)]
+    p = profile_loads({"t": spark.createDataFrame(data, "load_id int, x double")}, [ColumnRule("t", "x", 0, 1_000)])
+    assert [(r["load_id"], r["why"]) for r in unusual_loads(p, shift_above=1.0).collect()] == [(3, "shift")]
+    assert unusual_loads(p).count() == 0
+
+
+def test_power_sums_merge_to_the_same_digits(spark):
+    rng = random.Random(3)
+    data = [(rng.choice("ab"), rng.randint(-LARGEST, LARGEST), rng.randint(1, 9), i) for i in range(400)] + [("a", None, 3, 0), ("b", LARGEST, 10**9, 1)]
+    df = spark.createDataFrame(data, "k string, y long, n long, i int")
+    whole = {r["k"]: r for r in power_sums(df, ["k"], "y", "n").collect()}
+    for k, r in whole.items():
+        s = [sum(n * y**p for kk, y, n, _ in data if kk == k and y is not None) for p in range(5)]
+        assert (int(r["s0"]), int(r["s1"]), int(r["s2"]), int(r["s3_high"]) * 2**30 + int(r["s3_low"])) == tuple(s[:4])
+        assert int(r["s4_high"]) * 2**60 + int(r["s4_mid"]) * 2**31 + int(r["s4_low"]) == s[4]
+    parts = [power_sums(df.filter(f"pmod(i, 3) = {j}"), ["k"], "y", "n") for j in (2, 0, 1)]
+    assert {r["k"]: r for r in merge_sums(parts[0].union(parts[1]).union(parts[2]), ["k"]).collect()} == whole
+
+
+def test_moments_do_not_cancel(spark):
+    data = [(1, 1e7 - v) for v in (0.01, 0.02, 0.04, 0.01)]
+    r = profile_loads({"t": spark.createDataFrame(data, "load_id int, x double")}, [ColumnRule("t", "x", 0, 1e7)]).first()
+    assert abs(r["mean"] - (1e7 - 0.02)) < 1e-8 and abs(r["stddev"] ** 2 - 1.5e-4) < 1e-15 and r["skewness"] < 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_range_quantiles_are_exact(spark, seed):
+    rng = random.Random(seed)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, rng.uniform(-5, 5), rng.randint(-3, 3) * 1e6, 0.0]), rng.randint(1, 4)) for _ in range(300)]
+    df = spark.createDataFrame(data, "k string, x double, n int")
+    at = {"low": 0.0, "q1": 0.25, "q9": 0.9, "high": 1.0}
+    got = {r["k"]: r for r in range_quantiles(df, ["k"], "x", "n", at).collect()}
+    assert set(got) == {k for k, x, _ in data if x is not None}
+    for k, r in got.items():
+        xs = sorted(x for kk, x, n in data for _ in range(n) if kk == k and x is not None)
+        for c, q in at.items():
+            p = q * (len(xs) - 1)
+            lo, hi = xs[int(p)], xs[min(int(p) + (p > int(p)), len(xs) - 1)]
+            assert abs(r[c] - (lo + (hi - lo) * (p - int(p)))) < 1e-9 * max(1, abs(lo))
+
+
 def test_profile_of_empty_table(spark):
     p = profile_loads({"t": spark.createDataFrame([], "load_id int, x double")}, [ColumnRule("t", "x", 0, 1)])
     assert p.count() == 0 and unusual_loads(p).count() == 0
