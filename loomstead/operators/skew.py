@@ -7,37 +7,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_KEYS_AT_MOST = 2000
-SALTS = 32
+#: A key is hot if it holds more than one in this many of all rows; its rows are split into parts of about that size.
+PARTS_OF_ALL = 2000
+#: Keys of no more rows are never split.
+SMALL_KEY = 1000
+
+
+def hot_keys(counts: DataFrame, keys: Sequence[str], count_col: str) -> DataFrame:
+    """(keys, __parts): the keys that hold more than one in PARTS_OF_ALL of all rows, with the parts to split them into.
+
+    There are at most PARTS_OF_ALL of them, whatever the size of the data, and together they have at most
+    twice as many parts of about one in PARTS_OF_ALL of all rows each.
+    """
+    total = counts.agg(F.sum(count_col).alias("__total"))
+    return (
+        counts.crossJoin(F.broadcast(total))
+        .filter(F.col(count_col) * F.lit(PARTS_OF_ALL) > F.col("__total"))
+        .filter(F.col(count_col) > SMALL_KEY)
+        .select(*keys, F.ceil(F.col(count_col) * F.lit(PARTS_OF_ALL) / F.col("__total")).cast("int").alias("__parts"))
+    )
 
 
 def skew_join(
-    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], count_col: str, spread_by: Sequence[str], how: str = "left"
+    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], count_col: str, spread_by: Sequence[str], how: str = "left", counts: DataFrame | None = None
 ) -> DataFrame:
     """Join rows to a lookup that is unique by keys, splitting keys that hold a large share of the rows.
 
-    count_col of the lookup is the number of rows of its key. A key is hot if it holds more than one
-    in HOT_KEYS_AT_MOST of all rows, so at most HOT_KEYS_AT_MOST keys are broadcast, whatever the size
-    of the data. Hot keys are salted on the rows' side and repeated SALTS times in the lookup.
-    Null keys match nothing.
+    count_col is the number of rows of a key, in the lookup or, if given, in counts, which need not hold
+    the other columns of the lookup. Rows of hot_keys are salted and the lookup repeats these keys once
+    for each part. Null keys match nothing.
     """
-    total = lookup.agg(F.sum(count_col).alias("__total"))
-    hot = (
-        lookup.crossJoin(F.broadcast(total))
-        .filter(F.col(count_col) * F.lit(HOT_KEYS_AT_MOST) > F.col("__total"))
-        .filter(F.col(count_col) > 1000)
-        .select(*keys, F.lit(True).alias("__hot"))
-    )
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
-    left = rows.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "__salt", F.when(F.col("__hot"), salt).otherwise(F.lit(0))
-    )
-    right = lookup.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "__salt",
-        F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))),
+    hot = F.broadcast(hot_keys(lookup if counts is None else counts, keys, count_col))
+    salt = F.pmod(F.xxhash64(*spread_by), F.col("__parts")).cast("int")
+    left = rows.join(hot, list(keys), "left").withColumn("__salt", F.coalesce(salt, F.lit(0)))
+    right = lookup.join(hot, list(keys), "left").withColumn(
+        "__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__parts") - 1, F.lit(0))))
     )
     return (
-        left.drop("__hot").join(right.drop("__hot", count_col), [*keys, "__salt"], how).drop("__salt")
+        left.drop("__parts").join(right.drop("__parts", count_col), [*keys, "__salt"], how).drop("__salt")
     )
 
 

@@ -48,14 +48,38 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def _cuts(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/loomstead-{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it from there on.
 
     The written table survives the loss of executors, and its statistics are those of its files: after
     checkpoint() a plan keeps the size estimates of everything before it, which multiply from round to
-    round of an iteration.
+    round of an iteration. The tables of an application lie in one folder until it ends or calls clear_cuts.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{_cuts(spark)}/cut-{uuid.uuid4().hex}"
+    if _cuts(spark) not in _cleared_at_exit:
+        _cleared_at_exit.add(_cuts(spark))
+        atexit.register(_clear_quietly, spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_cleared_at_exit: set[str] = set()
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Delete what cut_lineage wrote for this application; results that were not written elsewhere are lost with it."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_cuts(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _clear_quietly(spark: SparkSession) -> None:
+    try:
+        clear_cuts(spark)
+    except Exception:  # noqa: BLE001 - the session has ended already; its folder stays for the cluster's own cleaning
+        pass
