@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +12,8 @@ from loomstead.operators.skew import skew_join
 from loomstead.session import cut_lineage
 
 SHRINK = 0.25
-HOT_ROWS = 100_000
-MOST_ROUNDS = 200
+#: What is left of the core is solved by one task once it has no more edges than this.
+CORE_EDGES = 20_000
 
 
 def _canonical(edges: DataFrame) -> DataFrame:
@@ -51,43 +52,45 @@ def _strip_and_compress(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFra
     return gone.select(F.col("u").alias("vertex"), F.col("n1").alias("parent")), cut_lineage(left)
 
 
-def _lookup(rows: DataFrame, table: DataFrame, key: str, count_col: str, spread_by: list[str], bound: int) -> DataFrame:
-    """Left join to a table unique by key; where no key can hold more than HOT_ROWS rows no key needs splitting."""
-    if bound <= HOT_ROWS:
-        return rows.join(table.drop(count_col), key, "left")
-    return skew_join(rows, table, [key], count_col, spread_by)
+def _contract(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(removed (vertex, parent), edges left): every vertex of the core is taken for the least hash of its closed neighbourhood.
 
-
-def _follow(pointers: DataFrame, bound: int) -> DataFrame:
-    """Pointer jumping: (u, to) of a forest, roots pointing at themselves or absent, until every vertex points at its root."""
-    while True:
-        children = pointers.groupBy("to").agg(F.count(F.lit(1)).alias("n"))
-        heads = children.join(pointers.select(F.col("u").alias("to"), F.col("to").alias("next")), "to", "left")
-        jumped = _lookup(pointers, heads, "to", "n", ["u"], bound)
-        jumped = jumped.select("u", F.coalesce("next", "to").alias("to"), (F.coalesce("next", "to") != F.col("to")).alias("moved"))
-        jumped = cut_lineage(jumped)
-        pointers = jumped.drop("moved")
-        if jumped.filter("moved").isEmpty():
-            return pointers
-
-
-def _contract(edges: DataFrame, turn: int, size: int) -> tuple[DataFrame, DataFrame]:
-    """(removed, edges left): every vertex of the core points at the least hash of its closed neighbourhood.
-
-    Hashes fall along the pointers, so they form trees, and only local minima are roots: with three and
-    more neighbours each, at most about a quarter of the vertices stays.
+    Whatever vertex of its group each one is taken for, the edges between these link what was linked, so
+    one step needs no roots; with three and more neighbours each, few vertices are the least of any
+    neighbourhood. A vertex that others are taken for stays, by its own name, in the edges left.
     """
     order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(f"core {turn}")).alias("h"), F.col(c).alias("id"))
     info = _both_ways(edges).groupBy("u").agg(F.min(order("v")).alias("best"), F.count(F.lit(1)).alias("deg"))
     info = cut_lineage(info.select("u", "deg", F.least(F.col("best"), order("u"))["id"].alias("to")))
-    roots = _follow(info.select("u", "to"), size)
     moved = edges
-    for end in ("u", "v"):
-        lookup = roots.join(info.select("u", "deg"), "u") if size > HOT_ROWS else roots.withColumn("deg", F.lit(1))
-        lookup = lookup.select(F.col("u").alias(end), F.col("to").alias("__to"), "deg")
-        other = "v" if end == "u" else "u"
-        moved = _lookup(moved, lookup, end, "deg", [other], size).select(F.col("__to").alias(end), other)
-    return roots.filter("u != to").select(F.col("u").alias("vertex"), F.col("to").alias("parent")), cut_lineage(_canonical(moved))
+    for end, other in (("u", "v"), ("v", "u")):
+        lookup = info.select(F.col("u").alias(end), F.col("to").alias("__to"), "deg")
+        moved = skew_join(moved, lookup, [end], "deg", [other], "inner").select(F.col("__to").alias(end), other)
+    gone = info.filter("u != to").select(F.col("u").alias("vertex"), F.col("to").alias("parent"))
+    gone = gone.join(info.select(F.col("to").alias("vertex")).distinct(), "vertex", "left_anti")
+    return gone, cut_lineage(_canonical(moved))
+
+
+def _solve(edges: DataFrame) -> DataFrame:
+    """(vertex, label) of a core of at most CORE_EDGES edges, by union of sets in one task; vertices that are labels are left out."""
+
+    def solved(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = up[y]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch["u"].to_pylist(), batch["v"].to_pylist()):
+                a, b = top(u), top(v)
+                up[max(a, b)] = min(a, b)
+        out = [(x, t) for x in up if (t := top(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), ()))], names=["vertex", "label"])
+
+    return edges.coalesce(1).mapInArrow(solved, "vertex bigint, label bigint")
 
 
 def connected_groups(edges: DataFrame, left: str = "u", right: str = "v") -> DataFrame:
@@ -95,35 +98,34 @@ def connected_groups(edges: DataFrame, left: str = "u", right: str = "v") -> Dat
 
     Edges with a null end and loops link nothing; repeated and reversed edges count once; an empty table
     gives an empty one. The rounds strip degree-one vertices and compress degree-two chains while that
-    removes a share of SHRINK of the edges, then contract the core. The removed vertices of all rounds
-    point at vertices removed later or never, so jumping along these pointers restores every label.
-    Every round's tables are written to the shared folder.
+    removes a share of SHRINK of the edges, then contract the core until one task can solve it. Then the
+    rounds are undone from the last to the first: a removed vertex has the label of the vertex it points
+    at, which was removed later or never. Every vertex is labelled once. Every round's tables are written
+    to the shared folder.
     """
     rest = cut_lineage(_canonical(edges.select(F.col(left).cast("bigint").alias("u"), F.col(right).cast("bigint").alias("v"))))
-    parents: list[DataFrame] = []
-    size = first = rest.count()
+    rounds: list[DataFrame] = []
+    size = rest.count()
     core = False
-    for turn in range(MOST_ROUNDS):
-        if size == 0:
-            break
-        gone, rest = _contract(rest, turn, size) if core else _strip_and_compress(rest, turn)
-        parents.append(gone)
+    while size > CORE_EDGES or size and not core:
+        gone, rest = _contract(rest, len(rounds)) if core else _strip_and_compress(rest, len(rounds))
+        rounds.append(gone)
         before, size = size, rest.count()
-        # what hardly shrinks any more is the core, which is contracted to nothing
+        # what hardly shrinks any more is the core
         core = core or before - size < SHRINK * before
-    if size:
-        raise RuntimeError(f"{size} edges left after {MOST_ROUNDS} rounds")
-    if not parents:
-        return rest.select(F.col("u").alias("vertex"), F.col("v").alias("group_id"))
-    pointers = reduce(DataFrame.unionByName, parents).select(F.col("vertex").alias("u"), F.col("parent").alias("to"))
-    found = _follow(cut_lineage(pointers), first)
-    everyone = found.select(F.col("u").alias("vertex"), F.col("to").alias("label"))
-    everyone = everyone.unionByName(found.select(F.col("to").alias("vertex"), F.col("to").alias("label")).distinct())
-    least = everyone.groupBy("label").agg(F.min("vertex").alias("group_id"), F.count(F.lit(1)).alias("n"))
-    return _lookup(everyone, least, "label", "n", ["vertex"], first).select("vertex", "group_id")
+    labels = cut_lineage(_solve(rest))
+    for gone in reversed(rounds):
+        children = gone.groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
+        found = skew_join(gone, labels.withColumnRenamed("vertex", "parent"), ["parent"], "n", ["vertex"], counts=children)
+        labels = labels.unionByName(cut_lineage(found.select("vertex", F.coalesce("label", "parent").alias("label"))))
+    everyone = labels.unionByName(labels.select(F.col("label").alias("vertex"), "label").distinct())
+    least = cut_lineage(everyone.groupBy("label").agg(F.min("vertex").alias("group_id"), F.count(F.lit(1)).alias("n")))
+    return skew_join(everyone, least, ["label"], "n", ["vertex"], "inner").select("vertex", "group_id")
 
 
 def shared_name_edges(names: DataFrame, scope: list[str], vertex: str) -> DataFrame:
     """(u, v): each row's vertex with the least vertex that names the same thing, a star per name instead of all pairs."""
     least = names.groupBy(*scope).agg(F.min(vertex).alias("v"), F.count(F.lit(1)).alias("__n"))
+    # a name of one row links nothing
+    least = cut_lineage(least.filter("__n > 1"))
     return skew_join(names.select(*scope, F.col(vertex).alias("u")), least, scope, "__n", ["u"], "inner").select("u", "v").filter("u != v")

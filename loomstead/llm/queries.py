@@ -38,35 +38,39 @@ def p1_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("group_id").agg(*[F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f) for f in SURVIVING_FIELDS])
 
 
-def _event_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _identified(spark, sf_dir).select("record_id", "load_id", *PARTS, "associated_source_event_keys").filter("county is not null")
-    # keys are cut and lists are read once; names, identities and their look-ups come from the written tables
-    records = cut_lineage(records.withColumn("__named", source_keys("associated_source_event_keys")).drop("associated_source_event_keys"))
-    own = F.concat_ws(":", "source", "source_id")
-    names = records.select("record_id", "load_id", "county", F.explode(F.array_union(F.array(own), "__named")).alias("key"))
-    by_name = shared_name_edges(names, ["load_id", "county", "key"], "record_id")
-    ids = ["load_id", *PARTS]
-    first = records.groupBy(*ids).agg(F.min("record_id").alias("vertex"))
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of one own source key are one vertex, that of the least of them; lists and pairs link vertices."""
+    records = _identified(spark, sf_dir).select("record_id", "load_id", "county", F.concat_ws(":", "source", "source_id").alias("own"), "month", "associated_source_event_keys")
+    records = records.filter("county is not null").withColumn("named", F.array_remove(source_keys("associated_source_event_keys"), F.col("own")))
+    # keys are cut and lists are read once
+    records = cut_lineage(records.drop("associated_source_event_keys"))
+    key = ["load_id", "county", "own"]
+    months = records.groupBy(*key, "month").agg(F.min("record_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    heads = cut_lineage(months.groupBy(*key).agg(F.min("first").alias("head"), F.sum("n").alias("n"), F.collect_set("month").alias("months")))
+    # what no record has as its own key still links those that name it
+    lists = records.filter(F.size("named") > 0).select(*key, F.explode("named").alias("name")).distinct()
+    names = lists.join(heads.select(*key, "head"), key).select("load_id", "county", "name", "head")
+    names = cut_lineage(names.unionByName(heads.select("load_id", "county", F.col("own").alias("name"), "head")))
+    by_name = shared_name_edges(names, ["load_id", "county", "name"], "head")
+
     a, b = (tuple(f"{side}_{p}" for p in PARTS) for side in "ab")
     pairs = table(spark, sf_dir, "event_match_pairs").select("load_id", "event_key_a", "event_key_b")
     pairs = with_key_parts(with_key_parts(pairs, "event_key_a", a), "event_key_b", b).filter("a_county = b_county")
-    # one row per pair of identities, so no identity repeats beyond its own pairs
-    pairs = cut_lineage(pairs.select("load_id", *a, *b).distinct())
-
-
-    def vertex_of(rows: DataFrame, names: tuple[str, ...], out: str) -> DataFrame:
-        # an identity may stand in many pairs: the number of its pairs goes with its look-up
-        ids = first.select("load_id", *[F.col(p).alias(n) for p, n in zip(PARTS, names)], F.col("vertex").alias(out))
-        lookup = rows.groupBy("load_id", *names).agg(F.count(F.lit(1)).alias("n")).join(ids, ["load_id", *names])
-        others = [c for c in rows.columns if c not in names]
-        return skew_join(rows, lookup, ["load_id", *names], "n", others, "inner").drop(*names)
-
-    linked = vertex_of(vertex_of(pairs, a, "u"), b, "v")
-    return by_name.unionByName(linked.select("u", "v"))
-
-
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_groups(_event_links(spark, sf_dir)).select(F.col("vertex").alias("record_id"), "group_id")
+    pairs = pairs.select("load_id", F.col("a_county").alias("county"), *[x for s in "ab" for x in (F.concat_ws(":", f"{s}_source", f"{s}_source_id").alias(f"{s}_own"), F.col(f"{s}_month"))])
+    pairs = cut_lineage(pairs.distinct())
+    linked = pairs
+    for side, end in (("a", "u"), ("b", "v")):
+        # a key may stand in many pairs: their number decides whether it is split
+        at = ["load_id", "county", f"{side}_own"]
+        counts = pairs.groupBy(*at).agg(F.count(F.lit(1)).alias("__n"))
+        held = heads.select("load_id", "county", F.col("own").alias(f"{side}_own"), F.col("head").alias(end), F.col("months").alias("__months"))
+        linked = skew_join(linked, held, at, "__n", [c for c in linked.columns if c not in at], "inner", counts)
+        linked = linked.filter(F.array_contains("__months", F.col(f"{side}_month"))).drop("__months", f"{side}_own", f"{side}_month")
+
+    groups = connected_groups(by_name.unionByName(linked.select("u", "v")))
+    known = heads.join(groups.withColumnRenamed("vertex", "head"), "head", "left").filter("n > 1 or group_id is not null")
+    known = cut_lineage(known.select(*key, "n", F.coalesce("group_id", "head").alias("group_id")))
+    return skew_join(records.select("record_id", *key), known, key, "n", ["record_id"], "inner").select("record_id", "group_id")
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
