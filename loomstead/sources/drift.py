@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 
 from loomstead.operators.skew import sharded_neighbour, skew_join
 from loomstead.session import cut_lineage
-from loomstead.sources.treeedit import STEP, edit_script, field_tree, letters, name_distance, spot
+from loomstead.sources.treeedit import STEP, Field, edit_script, field_tree, letters, name_distance, spot
 
 #: Counts a task holds before it hands them on.
 COUNTS_KEPT = 200_000
 #: How far the name of a field may be from another one to share its column where no script shows the link.
 ALIKE = 0.2
-CELLS = "array<struct<path:string,kind:string,spot:int,n:bigint>>"
 
 
 def _walk(value: object, path: str, out: Counter) -> None:
@@ -87,10 +86,14 @@ def field_values(df: DataFrame, file_keys: Sequence[str], payload: str) -> DataF
 
 
 def file_schemas(df: DataFrame, file_keys: Sequence[str], payload: str) -> DataFrame:
-    """(file keys, fields): one row per file, its fields as array<struct<path, kind, spot, n>> in order."""
+    """(file keys, fields): one row per file, its fields as array<struct<path, kinds, spots>> in order, as field_tree takes them."""
     found = field_values(df, file_keys, payload)
-    cells = F.filter(F.collect_list(F.struct("path", "kind", "spot", "n")), lambda c: c["path"] != "")
-    return found.groupBy(*file_keys).agg(F.array_sort(cells).cast(CELLS).alias("fields"))
+    counted = F.when(F.col("spot").isNotNull(), F.concat_ws(":", "spot", "n"))
+    per_field = found.groupBy(*file_keys, "path").agg(
+        F.concat_ws(",", F.array_sort(F.collect_set("kind"))).alias("kinds"), F.concat_ws(",", F.array_sort(F.collect_list(counted))).alias("spots")
+    )
+    fields = F.filter(F.collect_list(F.struct("path", "kinds", "spots")), lambda c: c["path"] != "")
+    return per_field.groupBy(*file_keys).agg(F.array_sort(fields).alias("fields"))
 
 
 def _steps(files: DataFrame, series: str, sequence: str, file_id: str) -> DataFrame:
@@ -101,8 +104,12 @@ def _steps(files: DataFrame, series: str, sequence: str, file_id: str) -> DataFr
     return near.filter(F.col("prev_fields").isNotNull()).select(series, sequence, file_id, "prev_fields", "fields")
 
 
-def _cells(fields: list[dict]) -> list[tuple]:
-    return [(c["path"], c["kind"], c["spot"], c["n"]) for c in fields]
+def _tree(fields: list[dict]) -> Field:
+    return field_tree((f["path"], f["kinds"], f["spots"]) for f in fields)
+
+
+def _shape(fields: list[dict]) -> dict[str, str]:
+    return {f["path"]: f["kinds"] for f in fields}
 
 
 def _apart(files: DataFrame, steps: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -117,14 +124,16 @@ def _apart(files: DataFrame, steps: DataFrame, keys: Sequence[str]) -> DataFrame
             rows = []
             for *key, before, after in zip(*[c.to_pylist() for c in batch.columns]):
                 pairs: set[tuple[str, str]] = set()
-                edit_script(field_tree(_cells(before)), field_tree(_cells(after)), likely=pairs)
+                old, new = _shape(before).keys(), _shape(after).keys()
+                if old - new and new - old:
+                    edit_script(_tree(before), _tree(after), likely=pairs)
                 rows += [(*key, a, b) for a, b in sorted(pairs) if letters(a) != letters(b)]
             columns = list(zip(*rows)) or [[]] * (len(keys) + 2)
             types = [batch.schema.field(i).type for i in range(len(keys))] + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=[*keys, "a", "b"])
 
     asked = steps.mapInArrow(likely, out)
-    sets = files.select(F.array_distinct(F.transform("fields", lambda c: c["path"])).alias("paths")).distinct()
+    sets = files.select(F.col("fields.path").alias("paths")).distinct()
     held = sets.select(F.xxhash64("paths").alias("set"), F.explode("paths").alias("path"))
     pairs = asked.select("a", "b").distinct()
     both = pairs.join(held.withColumnRenamed("path", "a"), "a").join(held.withColumnRenamed("path", "b"), ["set", "b"]).select("a", "b").distinct()
@@ -145,7 +154,9 @@ def edit_scripts(files: DataFrame, series: str, sequence: str, file_id: str) ->
         for batch in batches:
             rows = []
             for *key, before, after, apart in zip(*[c.to_pylist() for c in batch.columns]):
-                script = edit_script(field_tree(_cells(before)), field_tree(_cells(after)), frozenset((p["a"], p["b"]) for p in apart or ()))[1]
+                if _shape(before) == _shape(after):
+                    continue
+                script = edit_script(_tree(before), _tree(after), frozenset((p["a"], p["b"]) for p in apart or ()))[1]
                 rows += [(*key, at, kind, was) for kind, at, was in script]
             columns = list(zip(*rows)) or [[]] * 6
             types = [batch.schema.field(i).type for i in range(3)] + [pa.string()] * 3
@@ -223,7 +234,7 @@ def unify_names(
 
 def column_names(files: DataFrame, scripts: DataFrame, prefer: Sequence[str] = ()) -> dict[str, str]:
     """The column of each path met in any file, nested ones with dots; what is gathered is of the size of the schemas."""
-    sets = files.select(F.array_distinct(F.transform("fields", lambda c: c["path"])).alias("paths"))
+    sets = files.select(F.col("fields.path").alias("paths"))
     files_with = {r["path"]: r["n"] for r in sets.select(F.explode("paths").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n")).collect()}
     links = scripts.filter("change_kind = 'renamed'").groupBy("path", "old_path").agg(F.count(F.lit(1)).alias("n"))
     renamed = [(r["old_path"], r["path"], r["n"]) for r in links.collect()]
@@ -253,12 +264,12 @@ def column_names(files: DataFrame, scripts: DataFrame, prefer: Sequence[str] = (
     return {p: columns[s] for p, s in stands.items()}
 
 
-def _stored(path: str, kind: str) -> str | None:
+def _stored(path: str, kinds: str) -> str | None:
     """The path whose column holds the values of a path: that of the outermost array around it; None for an object."""
     steps = path.split("\x1f")
     if "[]" in steps[1:]:
         return "\x1f".join(steps[: steps.index("[]", 1)])
-    return None if kind == "object" else path
+    return None if kinds == "object" else path
 
 
 class _Number(str):
@@ -317,12 +328,12 @@ def column_maps(files: DataFrame, scripts: DataFrame, names: dict[str, str], ser
     leads to, the moved field stays in its own, so no two fields of a file are ever merged.
     """
     keys = [series, sequence, file_id]
-    fields = files.select(*keys, F.explode("fields").alias("c")).select(*keys, "c.path", "c.kind").distinct()
+    fields = files.select(*keys, F.explode("fields").alias("c")).select(*keys, "c.path", "c.kinds")
     out = ", ".join([*(f"`{k}` {fields.schema[k].dataType.simpleString()}" for k in keys), "own string"])
 
     def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [(p := _stored(path, kind)) and names[p] for path, kind in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            own = [(p := _stored(path, kinds)) and names[p] for path, kinds in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(own, type=pa.string())], names=[*keys, "own"])
 
     fields = fields.mapInArrow(named, out).filter("own is not null").distinct()

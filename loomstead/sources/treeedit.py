@@ -124,12 +124,19 @@ def assign(cost: Sequence[Sequence[float]]) -> list[int]:
 
 
 class Field:
-    """A field of a schema with the fields below it, how often it held each kind of value, and its values' histogram."""
+    """A field of a schema with the fields below it, the kinds of values it held, and its values' histogram."""
 
-    __slots__ = ("name", "path", "kids", "kinds", "spots")
+    __slots__ = ("name", "path", "kids", "kinds", "_spots")
 
     def __init__(self, name: str, path: str) -> None:
-        self.name, self.path, self.kids, self.kinds, self.spots = name, path, {}, {}, {}
+        self.name, self.path, self.kids, self.kinds, self._spots = name, path, {}, frozenset(), ""
+
+    @property
+    def spots(self) -> dict[int, int]:
+        """The histogram, read when it is first asked for: most fields keep their names and are never compared by value."""
+        if isinstance(self._spots, str):
+            self._spots = {int(s): int(n) for s, n in (c.split(":") for c in self._spots.split(",") if c)}
+        return self._spots
 
     def size(self) -> int:
         return 1 + sum(k.size() for k in self.kids.values())
@@ -141,21 +148,19 @@ class Field:
 
     def value_kind(self) -> str | None:
         """text or number if the non-null values are all of it, else another word; None without non-null values."""
-        seen = {k for k in self.kinds if k != "null"}
-        return None if not seen else seen.pop() if len(seen) == 1 else "mixed"
+        seen = self.kinds - {"null"}
+        return None if not seen else next(iter(seen)) if len(seen) == 1 else "mixed"
 
 
-def field_tree(cells: Iterable[tuple[str, str, int | None, int]]) -> Field:
-    """The tree of a file's (path, kind, spot, n)."""
+def field_tree(fields: Iterable[tuple[str, str, str]]) -> Field:
+    """The tree of a file's (path, kinds, spots): kinds joined by commas, spots as spot:count joined by commas."""
     root = Field("", "")
-    for path, kind, at, n in cells:
+    for path, kinds, spots in fields:
         node = root
         for step in path.split(STEP):
             below = f"{node.path}{STEP}{step}" if node.path else step
             node = node.kids.setdefault(step, Field(step, below))
-        node.kinds[kind] = node.kinds.get(kind, 0) + n
-        if at is not None:
-            node.spots[at] = node.spots.get(at, 0) + n
+        node.kinds, node._spots = frozenset(kinds.split(",")), spots
     return root
 
 

@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -248,7 +249,7 @@ def test_schema_changes(spark):
 
 
 def leaves(**fields):
-    return treeedit.field_tree((k, "number" if isinstance(v[0], (int, float)) else "text", treeedit.spot(x), 1) for k, v in fields.items() for x in v)
+    return treeedit.field_tree((k, "number" if isinstance(v[0], (int, float)) else "text", ",".join(f"{s}:{n}" for s, n in Counter(map(treeedit.spot, v)).items())) for k, v in fields.items())
 
 
 def test_scripts_are_of_least_cost():
