@@ -17,6 +17,8 @@ from loomstead.session import cut_lineage
 
 SURVIVING_FIELDS = ("total_damage_amount", "source_record_count", "semantic_duplicate_count")
 CAPACITY = 2_048
+#: One record in so many has its time withheld from p1_currency.
+WITHHELD = 3
 
 
 def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving value of each field of each group with the record it comes from and the evidence."""
-    return surviving_values(_identified(spark, sf_dir), ["load_id", *PARTS], "record_id", "loaded_at", SURVIVING_FIELDS)
+    return surviving_values(_identified(spark, sf_dir), ["load_id", *PARTS], "record_id", "loaded_at", SURVIVING_FIELDS).drop("timed_value")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +40,22 @@ def p1_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("group_id").agg(*[F.max(F.when(F.col("field_name") == f, F.col("value"))).alias(f) for f in SURVIVING_FIELDS])
 
 
+def p1_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What currency reasoning is worth: survivors with the times of one record in WITHHELD hidden, beside the true latest values.
+
+    The hidden times are those of records that a hash of their id picks. found_value is the value that
+    survives without them, timed_value the one that the times left would give alone, true_value the one
+    with all times.
+    """
+    rows = cut_lineage(_identified(spark, sf_dir).select("record_id", "load_id", *PARTS, "loaded_at", *SURVIVING_FIELDS))
+    hidden = rows.withColumn("loaded_at", F.when(F.pmod(F.xxhash64("record_id"), F.lit(WITHHELD)) != 0, F.col("loaded_at")))
+    of = lambda df: surviving_values(df, ["load_id", *PARTS], "record_id", "loaded_at", SURVIVING_FIELDS)
+    truth = of(rows).select("group_id", "field_name", F.col("value").alias("true_value"))
+    return of(hidden).join(truth, ["group_id", "field_name"]).select(
+        "group_id", "field_name", F.col("value").alias("found_value"), "timed_value", "true_value", "evidence"
+    )
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of one own source key are one vertex, that of the least of them; lists and pairs link vertices."""
     records = _identified(spark, sf_dir).select("record_id", "load_id", "county", F.concat_ws(":", "source", "source_id").alias("own"), "month", "associated_source_event_keys")
@@ -106,7 +124,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_personal(docs, make_finder(docs, table(spark, sf_dir, "person_names")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p1_golden, p4_found, p4_groups, p8_ids, p8_decoded, p9_containers, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p1_golden, p1_currency, p4_found, p4_groups, p8_ids, p8_decoded, p9_containers, p10_found, p10_redacted)}
 
 _RECORDS = """
 records AS (
@@ -158,6 +176,7 @@ paired AS (
 SELECT record_id, min(other) AS group_id FROM reach GROUP BY record_id""",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
+SQL["p1_survivors"] = SQL["p1_found"].replace("SELECT group_id, field_name, record_id FROM ranked", "SELECT group_id, field_name, record_id, v AS value, 'time' AS evidence FROM ranked")
 SQL["p1_golden"] = SQL["p1_found"].replace(
     "SELECT group_id, field_name, record_id FROM ranked WHERE r = 1",
     "SELECT group_id, " + ", ".join(f"max(v) FILTER (field_name = '{f}') AS {f}" for f in SURVIVING_FIELDS) + " FROM ranked WHERE r = 1 GROUP BY 1",

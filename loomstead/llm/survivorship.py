@@ -89,7 +89,7 @@ def surviving_values(
     df: DataFrame, group: Sequence[str], record_id: str, loaded_at: str, fields: Sequence[str],
     valid: Callable[[Column], Column] = valid_amount,
 ) -> DataFrame:
-    """(group_id, field_name, record_id, value, evidence) of every group of two or more records.
+    """(group_id, field_name, record_id, value, evidence, timed_value) of every group of two or more records.
 
     group_id is the smallest record_id of the group. Of the valid values of a field the one loaded last
     survives; at equal times that of the smallest record_id. Values without a time enter through learned
@@ -97,7 +97,8 @@ def surviving_values(
     precedence learned from all timestamped rows; the latest timed value survives unless an untimed class
     is known to follow it, and the topologically last class wins (no known successor in the group; among
     several, the smallest record_id). Where the learned order runs in a circle nothing is known, and the
-    timed value, else the smallest record_id, stands. evidence is time or currency. A field without valid
+    timed value, else the smallest record_id, stands. evidence is time or currency; timed_value is the
+    latest value that has a time. A field without valid
     values gives no row. Rows with a null in a group column form no group. Repeated rows count as records.
 
     A group's rows are reduced to maxima and to one row per class before any of them meet.
@@ -151,5 +152,6 @@ def surviving_values(
         .select(
             "group_id", "field_name", F.col("__p.rid").alias("record_id"), F.col("__p.value").alias("value"),
             F.when(F.col("__p.rid") == F.col("t_rid"), "time").otherwise("currency").alias("evidence"),
+            F.col("t_value").alias("timed_value"),
         )
     )

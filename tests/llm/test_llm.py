@@ -297,3 +297,11 @@ def test_fast_split_equals_pattern(bpe):
         if transducer.UNCOMMON(c) is None:
             for text in (c, f"a{c}b", f" {c} ", f"1{c}1{c}!", f"'{c}\n {c}"):
                 assert transducer.COMMON(text) == slow(text), hex(ord(c))
+
+
+def test_currency_finds_latest_values_without_times(spark):
+    from loomstead.llm.queries import p1_currency
+
+    rows = p1_currency(spark, "/root/testdata/sf0.01").collect()
+    share = lambda name: sum(r[name] == r["true_value"] for r in rows) / len(rows)
+    assert share("found_value") > share("timed_value") + 0.03 and {r["evidence"] for r in rows} == {"time", "currency"}
