@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomstead.functions.clean import code5
 from loomstead.functions.text import event_family, event_name
 from loomstead.operators.relational import first_per_key, islands, joined_unique
+from loomstead.session import cut_lineage
 
 CLUSTER_DAYS = 7
 MATCH_DAYS = 3
@@ -17,6 +18,8 @@ DAMAGE_THRESHOLD = 1e9
 #: Incident types that are not weather or geology.
 EXCLUDED_TYPES = ("Biological", "Dam/Levee Break", "Chemical", "Terrorist", "Other", "Toxic Substances")
 DECLARATION_COLUMNS = ("fips", "disasterNumber", "declarationType", "incidentType", "declarationTitle", "incident_begin_date", "incident_end_date")
+#: Days of a time bucket in which declarations and storms meet.
+BUCKET_DAYS = 32
 STANDARD = ("event_source", "source_event_id", "fips", "event_type", "event_name", "event_start", "event_end", "total_damage_amount")
 
 
@@ -26,6 +29,13 @@ def _need(df: DataFrame, columns: Sequence[str]) -> None:
         raise ValueError(f"missing columns: {missing}")
 
 
+def _in_order(df: DataFrame, order: str | None) -> DataFrame:
+    """df with __order, the given column or a number that is written once, so that every branch and every retry sees the same."""
+    if order:
+        return df.withColumn("__order", F.col(order).cast("long"))
+    return cut_lineage(df.withColumn("__order", F.monotonically_increasing_id()))
+
+
 def canonical_declarations(df: DataFrame, tolerance_days: int = CLUSTER_DAYS, order: str | None = None) -> DataFrame:
     """One row per county incident.
 
@@ -37,7 +47,7 @@ def canonical_declarations(df: DataFrame, tolerance_days: int = CLUSTER_DAYS, or
     """
     _need(df, DECLARATION_COLUMNS)
     has = set(df.columns)
-    src = df.withColumn("__order", F.col(order).cast("long") if order else F.monotonically_increasing_id())
+    src = _in_order(df, order)
     begin = F.col("incident_begin_date").cast("string").try_cast("timestamp_ntz")
     end = F.coalesce(F.col("incident_end_date").cast("string").try_cast("timestamp_ntz"), begin)
     number = F.col("disasterNumber").try_cast("double")
@@ -69,6 +79,7 @@ def canonical_declarations(df: DataFrame, tolerance_days: int = CLUSTER_DAYS, or
 
 def _standard(df: DataFrame, source: str, order: str | None) -> DataFrame:
     _need(df, STANDARD)
+    df = _in_order(df, order)
     has = set(df.columns)
     one = F.lit(1).cast("long")
     return df.select(
@@ -79,7 +90,7 @@ def _standard(df: DataFrame, source: str, order: str | None) -> DataFrame:
         (F.coalesce(F.col("associated_source_event_ids"), F.col("source_event_id").cast("string")) if "associated_source_event_ids" in has else F.col("source_event_id").cast("string")).alias("associated_source_event_ids"),
         (F.nullif(F.trim(F.col("episode_id").cast("string")), F.lit("")) if "episode_id" in has else F.lit(None).cast("string")).alias("episode_id"),
         event_name(F.col("event_name")).alias("normalized_event_name"), event_family(F.col("event_type"), F.col("event_name")).alias("event_family"),
-        (F.col(order).cast("long") if order else F.monotonically_increasing_id()).alias("__order"),
+        "__order",
     )
 
 
@@ -105,9 +116,17 @@ def canonical_events(declarations: DataFrame, storms: DataFrame, tolerance_days:
     one that stays alone all of its ids.
     """
     decl, noaa = _standard(declarations, "fema", order), collapse_episodes(_standard(storms, "noaa", order))
-    a, b = decl.alias("a"), noaa.alias("b")
+    # both sides meet within time buckets, so a county with many records is not met as a whole; a pair counts where the later one begins
     widen = F.make_dt_interval(F.lit(tolerance_days))
-    near = (F.col("a.fips") == F.col("b.fips")) & (F.col("a.event_family") == F.col("b.event_family")) & (F.col("a.event_start") <= F.col("b.event_end") + widen) & (F.col("a.event_end") >= F.col("b.event_start") - widen)
+    bucket = lambda c: F.floor(F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")) / BUCKET_DAYS).cast("int")
+
+    def reach(d: DataFrame, by: Column) -> DataFrame:
+        ends = (F.col("event_start") - by, F.col("event_end") + by)
+        d = d.withColumns({"__lo": F.least(*ends), "__hi": F.greatest(*ends)}).filter("event_start is not null and event_end is not null")
+        return d.withColumn("__bucket", F.explode(F.sequence(bucket(F.col("__lo")), bucket(F.col("__hi")))))
+
+    a, b = reach(decl, widen).alias("a"), reach(noaa, F.make_dt_interval()).alias("b")
+    near = (F.col("a.__bucket") == F.col("b.__bucket")) & (F.col("a.__bucket") == bucket(F.greatest("a.__lo", "b.__lo"))) & (F.col("a.fips") == F.col("b.fips")) & (F.col("a.event_family") == F.col("b.event_family")) & (F.col("a.event_start") <= F.col("b.event_end") + widen) & (F.col("a.event_end") >= F.col("b.event_start") - widen)
     gap = F.abs(F.datediff("a.event_start", "b.event_start")) + F.abs(F.datediff("a.event_end", "b.event_end"))
     hits = b.join(a, near).select(
         F.col("b.__order").alias("storm"), F.col("a.__order").alias("decl"), gap.alias("gap"), F.col("a.event_start").alias("s"),

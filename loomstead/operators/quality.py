@@ -8,6 +8,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstead.operators.profile import range_quantiles
+from loomstead.session import cut_lineage
+
 
 def missingness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, rows, nulls, null_pct): one aggregate over the table, then one row per column."""
@@ -17,14 +20,19 @@ def missingness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def distribution(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, deviation, extremes, percentiles and the number beyond 1.5 interquartile ranges, per column."""
+    """Count, mean, deviation, extremes, exact percentiles by value ranges and the number beyond 1.5 interquartile ranges, per column."""
     ps = (0.01, 0.25, 0.5, 0.75, 0.99)
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column_name", "v").filter(F.col("v").isNotNull())
     base = long.groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.percentile("v", F.array(*[F.lit(p) for p in ps])).alias("q")
+        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max")
     )
+    at = {f"p{int(p * 100):02d}": p for p in ps}
+    quantiles = range_quantiles(long.withColumn("n", F.lit(1).cast("bigint")), ["column_name"], "v", "n", at)
+    quantiles = cut_lineage(quantiles.select("column_name", F.array(*at).alias("q")))
+    base = base.join(F.broadcast(quantiles), "column_name")
     iqr = F.col("q")[3] - F.col("q")[1]
-    far = long.join(F.broadcast(base.select("column_name", "q")), "column_name").groupBy("column_name").agg(
+    # one row per column is broadcast
+    far = long.join(F.broadcast(quantiles), "column_name").groupBy("column_name").agg(
         F.count_if((F.col("v") < F.col("q")[1] - 1.5 * iqr) | (F.col("v") > F.col("q")[3] + 1.5 * iqr)).alias("outliers")
     )
     return base.join(far, "column_name").select("column_name", "n", "mean", "std", "min", "max", *[F.col("q")[i].alias(f"p{int(p * 100):02d}") for i, p in enumerate(ps)], "outliers")

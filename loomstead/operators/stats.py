@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstead.operators.profile import range_quantiles
+
 from loomstead.operators.relational import average_rank
 
 
@@ -69,7 +71,10 @@ def within_fences(df: DataFrame, group: Sequence[str], columns: Sequence[str], w
 
 
 def robust_clamp(df: DataFrame, value: str, low: float = 0.01, high: float = 0.99, name: str = "capped") -> DataFrame:
-    caps = df.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("__cap"))
+    """value between its exact quantiles low and high over all rows; null stays null. The quantiles are found by value ranges."""
+    numbers = df.select(F.lit(0).alias("k"), F.col(value).cast("double").alias("v"), F.lit(1).cast("bigint").alias("n"))
+    caps = range_quantiles(numbers, ["k"], "v", "n", {"low": low, "high": high}).select(F.array("low", "high").alias("__cap"))
+    caps = caps.unionByName(df.sparkSession.createDataFrame([(None,)], "__cap array<double>")).agg(F.max("__cap").alias("__cap"))
     return df.crossJoin(F.broadcast(caps)).withColumn(name, F.when(F.col(value).isNotNull(), F.greatest(F.least(F.col(value), F.col("__cap")[1]), F.col("__cap")[0]))).drop("__cap")
 
 

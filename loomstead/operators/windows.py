@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstead.operators.relational import complete_only
@@ -54,15 +54,19 @@ def unpivot(df: DataFrame, keep: Sequence[str], metrics: Sequence[str], name: st
 def window_summary(windows: DataFrame, line: str, unit: str, rating: str, metrics: Sequence[str], horizons: Sequence[int] = HORIZONS, pre: int = PRE, ratings: Sequence[str] = ()) -> DataFrame:
     """Median, mean, quartiles and counts per month of the lines complete up to each horizon, over all units and by rating.
 
-    Horizons are judged one by one. The level all includes units without a rating, so it is no rollup of
-    the levels by rating.
+    A line has one row a month, so lines are counted as rows. The months a line has of a metric are
+    gathered once and judge every horizon; rows repeat for horizons only when they are counted. The level
+    all includes units without a rating, so it is no rollup of the levels by rating.
     """
     long = unpivot(windows.withColumnRenamed(rating, "__rating"), [line, unit, "__rating", "event_window_month"], metrics)
-    long = long.withColumn("horizon_months", F.explode(F.array(*[F.lit(h) for h in horizons]))).filter((F.col("event_window_month") >= -pre) & (F.col("event_window_month") <= F.col("horizon_months")))
-    kept = complete_only(long, [line, "metric_name", "horizon_months"], "event_window_month", F.col("horizon_months") + pre + 1)
+    long = long.filter((F.col("event_window_month") >= -pre) & (F.col("event_window_month") <= max(horizons)))
+    # in the sorted months of a complete line, month h stands at place h + pre
+    long = long.withColumn("__has", F.array_sort(F.collect_set("event_window_month").over(Window.partitionBy(line, "metric_name"))))
+    fits = F.array(*[F.when((F.get("__has", F.lit(h + pre)) == h) & (F.col("event_window_month") <= h), F.lit(h)) for h in horizons])
+    kept = long.withColumn("horizon_months", F.explode(F.array_compact(fits))).drop("__has")
     kept = kept.withColumn("event_window_phase", phase("event_window_month", max(horizons), pre))
     q = F.percentile("metric_value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    aggs = [q.alias("__q"), F.avg("metric_value").alias("mean"), F.countDistinct(line).alias("county_event_count"), F.countDistinct(unit).alias("county_count")]
+    aggs = [q.alias("__q"), F.avg("metric_value").alias("mean"), F.count(line).alias("county_event_count"), F.countDistinct(unit).alias("county_count")]
     by = ["horizon_months", "event_window_month", "event_window_phase", "metric_name"]
     # each row counts at both levels: the level all_counties has no rating, whatever the row's is
     known = F.col("__rating").isin(*ratings) if ratings else F.col("__rating").isNotNull()

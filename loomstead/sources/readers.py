@@ -16,18 +16,24 @@ from loomstead.functions.text import raw_variable_column, table_name
 
 CLIMDIV_MISSING = -99.99
 #: State codes of the fifty states and the capital district.
-STATE_CODES = tuple(f"{n:02d}" for n in range(1, 57) if n not in (3, 7, 14, 43, 52))
+STATE_CODES = (
+    "01", "02", "04", "05", "06", "08", "09", "10", "11", "12", "13", "15", "16", "17", "18", "19", "20", "21", "22", "23", "24", "25", "26", "27", "28", "29",
+    "30", "31", "32", "33", "34", "35", "36", "37", "38", "39", "40", "41", "42", "44", "45", "46", "47", "48", "49", "50", "51", "53", "54", "55", "56",
+)
 
 
-def read_csv_raw(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None, clean: bool = True, rename_variables: bool = False) -> DataFrame:
-    """Delimited files with a header as text columns, gzip included; malformed rows are skipped, measures below zero nulled."""
-    df = spark.read.csv(list(paths) if not isinstance(paths, str) else paths, header=True, inferSchema=False, mode="DROPMALFORMED", multiLine=False, enforceSchema=False)
+def read_csv_raw(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None, clean: bool = True, rename_variables: bool = False, table: str = "") -> DataFrame:
+    """Delimited files with a header as text columns, gzip and quoted line breaks included; malformed rows are skipped, measures below zero nulled.
+
+    table is the name the rows are loaded under: some tables have measures of their own that may be below zero.
+    """
+    df = spark.read.csv(list(paths) if not isinstance(paths, str) else paths, header=True, inferSchema=False, mode="DROPMALFORMED", multiLine=True, enforceSchema=False)
     if columns:
         wanted = {c.lower() for c in columns}
         df = df.select(*[F.col(f"`{c}`").alias(c.lower()) for c in df.columns if c.lower() in wanted])
     if rename_variables:
         df = df.withColumnsRenamed({c: raw_variable_column(c) for c in df.columns})
-    return clean_negatives(df) if clean else df
+    return clean_negatives(df, table) if clean else df
 
 
 def union_csv_by_name(spark: SparkSession, paths: Iterable[str]) -> DataFrame:

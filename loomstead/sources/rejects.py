@@ -66,7 +66,10 @@ def reject_reasons(raw: DataFrame, offset: Sequence[str], line: str, fmt: LineFo
         *[F.col(c).alias(f"__o{i}") for i, c in enumerate(offset)], F.xxhash64(F.col("__line")).alias("__h")
     )
     cond = [F.col(c).eqNullSafe(F.col(f"__o{i}")) for i, c in enumerate(offset)]
-    rest = raw.withColumn("__m", mark).join(kept, [*cond, F.col("__m") == F.col("__h")], "left_anti").drop("__m")
+    # only offsets and hashes are subtracted; the lines of what is left are fetched by them afterwards
+    left = raw.select(*offset, mark.alias("__m")).join(kept, [*cond, F.col("__m") == F.col("__h")], "left_anti")
+    left = left.select(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(offset)], F.col("__m").alias("__h"))
+    rest = raw.withColumn("__m", mark).join(left, [*cond, F.col("__m") == F.col("__h")], "left_semi").drop("__m")
     body = F.coalesce(_body(line), F.lit(""))
     reason = (
         F.when(F.col(line).isNull(), "column_count")

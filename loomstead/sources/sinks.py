@@ -28,13 +28,25 @@ def replace_table(df: DataFrame, name: str, partition_by: Sequence[str] = (), so
 
 
 def swap_table(df: DataFrame, name: str) -> DataFrame:
-    """Replace a table by something made from it: written under another name first, then renamed."""
+    """Replace a table by something made from it: written under another name first, then the two are renamed.
+
+    The old table is dropped last. If the new one cannot take its name, the old one gets it back.
+    """
     spark = df.sparkSession
-    fresh = f"{name}__new"
-    spark.sql(f"DROP TABLE IF EXISTS {fresh}")
+    fresh, old = f"{name}__new", f"{name}__old"
+    for leftover in (fresh, old):
+        spark.sql(f"DROP TABLE IF EXISTS {leftover}")
     df.write.format("parquet").saveAsTable(fresh)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+    replaced = spark.catalog.tableExists(name)
+    if replaced:
+        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+    try:
+        spark.sql(f"ALTER TABLE {fresh} RENAME TO {name}")
+    except Exception:
+        if replaced:
+            spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
+        raise
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
     return spark.table(name)
 
 

@@ -268,3 +268,42 @@ def test_rings(spark):
     df = spark.createDataFrame([([[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [0.0, 0.0]],)], "r array<array<double>>")
     area, turned = df.select(geo.signed_area(F.col("r")), geo.oriented(F.col("r"))).first()
     assert area == 1.0 and turned[1] == [0.0, 1.0]
+
+
+def test_rules_of_names():
+    assert text.raw_variable_column("B25132_C01_003PM") == "b25132_c01_003_pct_moe" and text.variable_of_column("b25132_c01_003_pct_moe") == "B25132_C01_003PM"
+    for name in ("DP03_0062", "dp03_0062PE", "DP03_0062PX", "DP_0062PE", "03_0062PE", "DP03_C1_2_0062E", "NAME", ""):
+        assert text.raw_variable_column(name) == name
+    for name in ("dp03_0062", "DP03_0062_pct", "dp03_pct", "dp03_0062_share", "pct"):
+        assert text.variable_of_column(name) is None
+    assert clean.measure_never_negative("value") and not clean.measure_never_negative("value", "ncei_climate_at_a_glance_county_monthly")
+
+
+def test_a_table_keeps_its_rows_if_the_swap_fails(spark):
+    from loomstead.sources.sinks import swap_table
+
+    name = "default.swap_kept"
+    for n in (3, 4):
+        assert swap_table(spark.range(n), name).count() == n
+    assert swap_table(spark.table(name).filter("id < 2"), name).count() == 2 and not spark.catalog.tableExists(f"{name}__old")
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_canonical_events_are_met_in_buckets(spark):
+    """Long, inverted and neighbouring periods meet as by a plain join of all."""
+    rng = random.Random(8)
+    base = dt.datetime(2020, 1, 1)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            s = base + dt.timedelta(days=rng.randint(0, 200))
+            out.append(("x", str(i), "01001", "Flood", rng.choice(["Flood", "Wildfire"]), s, s + dt.timedelta(days=rng.choice([-3, 0, 2, 90])), float(i), str(i)))
+        return out
+
+    schema = "event_source string, source_event_id string, fips string, event_type string, event_name string, event_start timestamp_ntz, event_end timestamp_ntz, total_damage_amount double, episode_id string"
+    a, b = some(25), some(40)
+    out = events.canonical_events(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).filter("has_fema and has_noaa").collect()
+    got = {(k.split(":")[1]) for r in out for k in r["associated_source_event_keys"].split("|") if k.startswith("noaa:")}
+    slack = dt.timedelta(days=events.MATCH_DAYS)
+    assert got == {y[1] for y in b if any(x[4] == y[4] and x[5] <= y[6] + slack and x[6] >= y[5] - slack for x in a)}
