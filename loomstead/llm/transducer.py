@@ -134,15 +134,26 @@ class BpeTransducer:
         config = (emitted[-1] if emitted else before, data[final:])
         number = self._numbers.get(config)
         if number is None:
-            number = self._numbers[config] = len(self._configs)
-            self._configs.append(config)
-            self._lasts.append([config[0], *(self._inside(last, p, final) for p in range(final + 1, n + 1))])
-            self._arcs.append({})
-            self._ends.append(None)
+            number = self._add(config, [config[0], *(self._inside(last, p, final) for p in range(final + 1, n + 1))])
         arc = (number, tuple(emitted))
         self._arcs[state][byte] = arc
         return arc
 
+    def _add(self, config: tuple, last: list) -> int:
+        number = self._numbers[config] = len(self._configs)
+        self._configs.append(config)
+        self._lasts.append(last)
+        self._arcs.append({})
+        self._ends.append(None)
+        return number
+
+    def _forget(self, state: int) -> int:
+        """Drop all states but the one a piece is in, and return its new number."""
+        config, last = self._configs[state], self._lasts[state]
+        self._clear_states()
+        number = self._numbers.get(config)
+        return self._add(config, last) if number is None else number
+
     def _end(self, state: int) -> tuple[int, ...]:
         ids = self._ends[state]
         if ids is None:
@@ -162,6 +173,10 @@ class BpeTransducer:
             arc = arcs[state].get(byte)
             if arc is None:
                 arc = self._step(state, byte)
+                if len(self._configs) > STATES_KEPT:
+                    # a long piece of random letters makes states faster than pieces end
+                    arc = (self._forget(arc[0]), arc[1])
+                    arcs = self._arcs
             state, emitted = arc
             yield from emitted
         yield from self._end(state)

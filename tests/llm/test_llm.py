@@ -153,6 +153,9 @@ def test_memories_may_be_emptied(reference, monkeypatch):
     small = BpeTransducer(read_ranks())
     for text in samples(random.Random(5), 60):
         assert small.encode(text) == reference.encode_ordinary(text)
+    rng = random.Random(11)
+    piece = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3_000))
+    assert small.encode(piece) == reference.encode_ordinary(piece) and len(small._configs) <= 52
 
 
 def test_streaming_decoder(bpe, reference):
