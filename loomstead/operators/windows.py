@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstead.operators.relational import complete_only
+from loomstead.session import cut_lineage
 
 PRE = 12
 HORIZONS = (12, 24, 36, 48, 60)
@@ -77,7 +78,7 @@ def window_summary(windows: DataFrame, line: str, unit: str, rating: str, metric
     return out.withColumns({"q25": F.col("__q")[0], "median": F.col("__q")[1], "q75": F.col("__q")[2]}).drop("__q")
 
 
-def baseline_windows(events: DataFrame, panel: DataFrame, unit: str, region: str, period: str, metrics: Sequence[str], pre: int = PRE, post: int = 24) -> DataFrame:
+def baseline_windows(events: DataFrame, panel: DataFrame, unit: str, region: str, period: str, metrics: Sequence[str], pre: int = PRE, post: int = 24, digits: int | None = None) -> DataFrame:
     """Affected units against untouched units of the same region and month.
 
     Events of one source, id and months are a group. Per group, month and metric: the median over the
@@ -87,16 +88,30 @@ def baseline_windows(events: DataFrame, panel: DataFrame, unit: str, region: str
     The control of an affected unit leaves out the unit itself, which is affected, so controls depend on
     the group, region and month only: each is made once, not once per affected unit, and no pair of
     units is formed beyond (group, region, month) times the region's units.
+
+    Groups that affect the same units over the same months have the same rows but for their names. One of
+    them, the least, stands for all in the joins with the panel, and its rows are handed to the others.
+    Medians are rounded to digits, if given, before that.
     """
-    ev = events.select(unit, "event_source", "source_event_id", "event_start_month", "event_end_month").distinct()
     key = F.concat_ws("|", "event_source", "source_event_id", F.col("event_start_month").cast("string"), F.col("event_end_month").cast("string"))
-    ev = ev.withColumn("event_group", key)
+    events = events.select(unit, "event_start_month", "event_end_month", key.alias("event_group"))
+    named = cut_lineage(events.groupBy("event_group").agg(F.array_sort(F.collect_set(F.struct(unit, "event_start_month", "event_end_month"))).alias("__alike")))
+    heads = cut_lineage(named.groupBy("__alike").agg(F.min("event_group").alias("event_group")))
+    rows = _baselines(heads.select("event_group", F.inline("__alike")), panel, unit, region, period, metrics, pre, post)
+    rows = rows.withColumns({"median": F.col("median") if digits is None else F.round("median", digits), "event_window_phase": phase("event_window_month", post, pre)})
+    packed = rows.groupBy("event_group").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "event_group"])).alias("__rows"))
+    both = named.join(heads.join(packed, "event_group").select("__alike", "__rows"), "__alike").select("event_group", F.inline("__rows"))
+    return both.withColumn("line_id", F.concat_ws(":", "event_group", "status", "metric_name"))
+
+
+def _baselines(ev: DataFrame, panel: DataFrame, unit: str, region: str, period: str, metrics: Sequence[str], pre: int, post: int) -> DataFrame:
+    """(event_group, event_window_month, metric_name, median, county_count, status) of the groups in ev."""
     affected = ev.select("event_group", unit).distinct()
     groups = ev.select("event_group", "event_start_month", "event_end_month").distinct()
     grid = groups.withColumn("event_window_month", F.explode(F.sequence(F.lit(-pre), F.lit(post)))).withColumn(
         period, F.when(F.col("event_window_month") <= 0, F.add_months("event_start_month", F.col("event_window_month"))).otherwise(F.add_months("event_end_month", F.col("event_window_month")))
     ).drop("event_start_month", "event_end_month")
-    long = unpivot(panel, [unit, region, period], metrics)
+    long = cut_lineage(unpivot(panel, [unit, region, period], metrics))
     own = grid.join(affected, "event_group").join(long, [unit, period])
     size = pre + 1 + post
     own = complete_only(own, ["event_group", unit, "metric_name"], "event_window_month", size)
@@ -107,8 +122,7 @@ def baseline_windows(events: DataFrame, panel: DataFrame, unit: str, region: str
     control = pool.groupBy("event_group", region, period, "event_window_month", "metric_name").agg(F.median("metric_value").alias("control"))
     lines = own.join(control, ["event_group", region, period, "event_window_month", "metric_name"])
     base = complete_only(lines, ["event_group", unit, "metric_name"], "event_window_month", size).groupBy(*month_key).agg(F.median("control").alias("median"), F.countDistinct(unit).alias("county_count")).withColumn("status", F.lit("baseline"))
-    both = treated.unionByName(base)
-    return both.withColumn("line_id", F.concat_ws(":", "event_group", "status", "metric_name")).withColumn("event_window_phase", phase("event_window_month", post, pre))
+    return treated.unionByName(base)
 
 
 def band_fit(lines: DataFrame, bands: DataFrame, line: str, by: Sequence[str], value: str, slack: float = 0.5) -> DataFrame:

@@ -86,8 +86,8 @@ def event_phase_counts(spark: SparkSession, sf: str, events: Events = great_orde
 
 
 def state_month_baseline(spark: SparkSession, sf: str, events: Events = great_orders) -> DataFrame:
-    out = windows.baseline_windows(events(spark, sf), panel(spark, sf), "unit", "region", "period", ["median_price"], 12, 12)
-    return out.select("event_group", "event_window_month", "metric_name", "status", r6("median").alias("median"), "county_count", "event_window_phase")
+    out = windows.baseline_windows(events(spark, sf), panel(spark, sf), "unit", "region", "period", ["median_price"], 12, 12, DIGITS)
+    return out.select("event_group", "event_window_month", "metric_name", "status", "median", "county_count", "event_window_phase")
 
 
 def latest_complete_year_window(spark: SparkSession, sf: str) -> DataFrame:

@@ -307,3 +307,20 @@ def test_canonical_events_are_met_in_buckets(spark):
     got = {(k.split(":")[1]) for r in out for k in r["associated_source_event_keys"].split("|") if k.startswith("noaa:")}
     slack = dt.timedelta(days=events.MATCH_DAYS)
     assert got == {y[1] for y in b if any(x[4] == y[4] and x[5] <= y[6] + slack and x[6] >= y[5] - slack for x in a)}
+
+
+def test_alike_groups_meet_the_panel_once(spark, monkeypatch):
+    """Groups of the same units and months are joined with the panel as one, and each has its rows."""
+    month = lambda i: dt.date(2020 + i // 12, i % 12 + 1, 1)
+    panel = spark.createDataFrame([(u, "r", month(i), float(100 * "abc".index(u) + i)) for u in "abc" for i in range(12)], "unit string, region string, period date, x double")
+    alike = [("a", "s", f"e{k}", month(4), month(5)) for k in range(50)]
+    events = spark.createDataFrame([*alike, alike[0], *[(u, "s", "both", month(4), month(5)) for u in "ab"], ("a", "s", "late", month(11), month(11))], "unit string, event_source string, source_event_id string, event_start_month date, event_end_month date")
+    met, inner = [], windows._baselines
+    monkeypatch.setattr(windows, "_baselines", lambda ev, *a: met.append(ev.select("event_group").distinct().count()) or inner(ev, *a))
+    out = windows.baseline_windows(events, panel, "unit", "region", "period", ["x"], 1, 1).collect()
+    assert met == [3]
+    rows = {(r["event_group"].split("|")[1], r["status"], r["event_window_month"]): (r["median"], r["county_count"]) for r in out}
+    at = {-1: 3, 0: 4, 1: 6}
+    want = {(f"e{k}", "affected", m): (float(i), 1) for k in range(50) for m, i in at.items()} | {(f"e{k}", "baseline", m): (150.0 + i, 1) for k in range(50) for m, i in at.items()}
+    want |= {("both", "affected", m): (50.0 + i, 2) for m, i in at.items()} | {("both", "baseline", m): (200.0 + i, 2) for m, i in at.items()}
+    assert rows == want and len(out) == len(want)
