@@ -47,27 +47,40 @@ def event_windows(events: DataFrame, panel: DataFrame, unit: str, period: str, p
     })
 
 
+def alike_lines(events: DataFrame, line: str, weight: str) -> DataFrame:
+    """The events of one line for all lines of equal events, with their number as weight; an event without a line is left out.
+
+    Lines of equal events have equal windows, so that summaries need one of them, the least, and the weight.
+    """
+    rest = [c for c in events.columns if c != line]
+    lines = events.filter(F.col(line).isNotNull()).groupBy(line).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("__alike"))
+    return lines.groupBy("__alike").agg(F.min(line).alias(line), F.count(F.lit(1)).alias(weight)).select(line, weight, F.inline("__alike"))
+
+
 def unpivot(df: DataFrame, keep: Sequence[str], metrics: Sequence[str], name: str = "metric_name", value: str = "metric_value") -> DataFrame:
     """Long metrics without nulls."""
     return df.select(*keep, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(list(keep), list(metrics), name, value).filter(F.col(value).isNotNull())
 
 
-def window_summary(windows: DataFrame, line: str, unit: str, rating: str, metrics: Sequence[str], horizons: Sequence[int] = HORIZONS, pre: int = PRE, ratings: Sequence[str] = ()) -> DataFrame:
+def window_summary(windows: DataFrame, line: str, unit: str, rating: str, metrics: Sequence[str], horizons: Sequence[int] = HORIZONS, pre: int = PRE, ratings: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """Median, mean, quartiles and counts per month of the lines complete up to each horizon, over all units and by rating.
 
     A line has one row a month, so lines are counted as rows. The months a line has of a metric are
     gathered once and judge every horizon; rows repeat for horizons only when they are counted. The level
-    all includes units without a rating, so it is no rollup of the levels by rating.
+    all includes units without a rating, so it is no rollup of the levels by rating. weight names the
+    number of lines that a line stands for, as alike_lines gives it; without it each stands for itself.
     """
-    long = unpivot(windows.withColumnRenamed(rating, "__rating"), [line, unit, "__rating", "event_window_month"], metrics)
+    windows = windows.withColumnRenamed(rating, "__rating").withColumn("__n", F.col(weight) if weight else F.lit(1).cast("long"))
+    long = unpivot(windows, [line, unit, "__rating", "event_window_month", "__n"], metrics)
     long = long.filter((F.col("event_window_month") >= -pre) & (F.col("event_window_month") <= max(horizons)))
     # in the sorted months of a complete line, month h stands at place h + pre
     long = long.withColumn("__has", F.array_sort(F.collect_set("event_window_month").over(Window.partitionBy(line, "metric_name"))))
     fits = F.array(*[F.when((F.get("__has", F.lit(h + pre)) == h) & (F.col("event_window_month") <= h), F.lit(h)) for h in horizons])
     kept = long.withColumn("horizon_months", F.explode(F.array_compact(fits))).drop("__has")
     kept = kept.withColumn("event_window_phase", phase("event_window_month", max(horizons), pre))
-    q = F.percentile("metric_value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    aggs = [q.alias("__q"), F.avg("metric_value").alias("mean"), F.count(line).alias("county_event_count"), F.countDistinct(unit).alias("county_count")]
+    q = F.percentile("metric_value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("__n"))
+    mean = F.sum(F.col("metric_value") * F.col("__n")) / F.sum("__n")
+    aggs = [q.alias("__q"), mean.alias("mean"), F.coalesce(F.sum(F.when(F.col(line).isNotNull(), F.col("__n"))), F.lit(0)).alias("county_event_count"), F.countDistinct(unit).alias("county_count")]
     by = ["horizon_months", "event_window_month", "event_window_phase", "metric_name"]
     # each row counts at both levels: the level all_counties has no rating, whatever the row's is
     known = F.col("__rating").isin(*ratings) if ratings else F.col("__rating").isNotNull()

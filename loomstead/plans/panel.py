@@ -73,7 +73,9 @@ def event_window_quartiles(spark: SparkSession, sf: str, events: Events = great_
 
 
 def complete_window_summary(spark: SparkSession, sf: str, events: Events = great_orders) -> DataFrame:
-    out = windows.window_summary(_windows(spark, sf, 36, events), "event_key", "unit", "risk_rating", ["median_price", "orders_n"], (12, 24, 36), ratings=RATINGS)
+    ev = events(spark, sf).select("event_key", "unit", "risk_rating", "event_start_month", "event_end_month")
+    rows = windows.event_windows(windows.alike_lines(ev, "event_key", "lines"), panel(spark, sf), "unit", "period", windows.PRE, 36)
+    out = windows.window_summary(rows, "event_key", "unit", "risk_rating", ["median_price", "orders_n"], (12, 24, 36), ratings=RATINGS, weight="lines")
     return out.withColumns({c: r6(c) for c in ("q25", "median", "q75", "mean")})
 
 

@@ -324,3 +324,16 @@ def test_alike_groups_meet_the_panel_once(spark, monkeypatch):
     want = {(f"e{k}", "affected", m): (float(i), 1) for k in range(50) for m, i in at.items()} | {(f"e{k}", "baseline", m): (150.0 + i, 1) for k in range(50) for m, i in at.items()}
     want |= {("both", "affected", m): (50.0 + i, 2) for m, i in at.items()} | {("both", "baseline", m): (200.0 + i, 2) for m, i in at.items()}
     assert rows == want and len(out) == len(want)
+
+
+def test_alike_lines_are_summed_up_by_weight(spark):
+    """One line stands for all of equal events; the summary is that of all lines one by one."""
+    month = lambda i: dt.date(2020 + i // 12, i % 12 + 1, 1)
+    panel = spark.createDataFrame([(u, month(i), float((7 * i + 31 * "abc".index(u)) % 50) if (u, i) != ("b", 20) else None) for u in "abc" for i in range(40)], "unit string, period date, x double")
+    data = [(k, u, r, month(s), month(s + 1)) for k, (u, r, s) in enumerate([("a", "Low", 14)] * 30 + [("b", "High", 14)] * 5 + [("c", None, 15)] * 7 + [("a", "Low", 16)] * 2)]
+    ev = spark.createDataFrame([*data, (None, "a", "Low", month(14), month(15))], "key long, unit string, rating string, event_start_month date, event_end_month date")
+    lines = windows.alike_lines(ev, "key", "lines")
+    assert sorted((r["key"], r["lines"], r["unit"]) for r in lines.collect()) == [(0, 30, "a"), (30, 5, "b"), (35, 7, "c"), (42, 2, "a")]
+    of = lambda df, **kw: {tuple(r[c] if not isinstance(r[c], float) else round(r[c], 9) for c in sorted(r.asDict())) for r in windows.window_summary(windows.event_windows(df, panel, "unit", "period", 12, 12), "key", "unit", "rating", ["x"], (6, 12), **kw).collect()}
+    weighed, single = of(lines, weight="lines"), of(ev.filter("key is not null"))
+    assert weighed == single and len(single) > 80
