@@ -9,7 +9,7 @@ from loomstead.functions.eventkeys import PARTS, source_keys, with_identity, wit
 from loomstead.llm.encoding import count_tokens, decode_ids, encode_texts
 from loomstead.llm.linkage import connected_groups, shared_name_edges
 from loomstead.llm.packing import pack_items
-from loomstead.llm.pii import find_personal, make_finder, redact_personal
+from loomstead.llm.pii import find_met, finder_of, meet_candidates, redact_met
 from loomstead.llm.survivorship import surviving_values
 from loomstead.operators.skew import skew_join
 from loomstead.plans.tables import table
@@ -115,13 +115,13 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    return find_personal(docs, make_finder(docs, table(spark, sf_dir, "person_names")))
+    met = meet_candidates(_documents(spark, sf_dir), table(spark, sf_dir, "person_names"))
+    return find_met(met, finder_of(met))
 
 
 def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    return redact_personal(docs, make_finder(docs, table(spark, sf_dir, "person_names")))
+    met = meet_candidates(_documents(spark, sf_dir), table(spark, sf_dir, "person_names"), keep_text=True)
+    return redact_met(met, finder_of(met))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_survivors, p1_golden, p1_currency, p4_found, p4_groups, p8_ids, p8_decoded, p9_containers, p10_found, p10_redacted)}

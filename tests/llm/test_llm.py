@@ -330,6 +330,29 @@ def test_finder_without_data(spark):
     assert pii.find_personal(docs, pii.make_finder(docs, names)).count() == 0
 
 
+def test_judge_learns_from_every_document(spark):
+    """The folded rows have all candidates of all documents, and learning from them is learning from each."""
+    details = ["anna meyer met Bert Dunn", "# call 239-555-0175 or 10.24.77.142", "ssn=961-36-2506 x", "mail a.b@x.example now", "at 1360 Chain Court", "Zork Blim said", "id 977057878"]
+    data = [(i, f"// {'note' if i % 3 else 'todo'} {details[i % 7]}\n{details[(i * 5 + 1) % 7]}") for i in range(4_000)] + [(4_000, None), (4_001, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    names = spark.createDataFrame([(g, "given") for g in GIVEN] + [(f, "family") for f in FAMILY], "name_part string, name_kind string")
+    met = pii.meet_candidates(docs, names)
+    folded = pii.folded_rows(met)
+    g = pii.Generators(GIVEN, FAMILY)
+    sides = {r["doc_id"]: r["s"] for r in docs.select("doc_id", F.expr("pmod(xxhash64(doc_id), 2)").alias("s")).collect()}
+    single = [r for d, t in data if t for r in pii.sample_rows(g, sides[d], t)]
+    assert sum(r.n for r in folded) == len(single) > 10_000 and len(folded) < len(single) / 20
+    a, b = pii.learn(folded), pii.learn(single)
+    close = lambda x, y: x.keys() == y.keys() and all(x[k] == pytest.approx(y[k], abs=1e-6) for k in x)
+    assert close(a.base, b.base) and close(a.forms, b.forms) and close(a.thresholds, b.thresholds)
+    assert all(a.trees.score(r.context) == pytest.approx(b.trees.score(r.context), abs=1e-6) for r in folded)
+    finder = pii.finder_of(met)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(pii.find_met(met, finder)) == rows(pii.find_personal(docs, finder)) != []
+    kept = pii.meet_candidates(docs, names, keep_text=True)
+    assert rows(pii.redact_met(kept, finder)) == rows(pii.redact_personal(docs, finder))
+
+
 def test_fast_split_equals_pattern(bpe):
     import regex
 
